@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE_OP2, op2_chat
+from .packing import op5_packing
+from .pieces import op1_pieces
 from .quality import op9_quality
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
+    "op2_chat": op2_chat,
+    "op5_packing": op5_packing,
     "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": ORACLE_OP2,
+}
