@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import ORACLE_OP2, op2_chat
+from .licenses import op8_licenses
 from .packing import op5_packing
 from .pieces import op1_pieces
 from .quality import op9_quality
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_chat": op2_chat,
     "op5_packing": op5_packing,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
 }
 
