@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat import ORACLE_OP2, op2_chat
+from .jaccard import op10_jaccard
 from .licenses import op8_licenses
+from .lines import op6_lines
 from .packing import op5_packing
 from .pieces import op1_pieces
 from .quality import op9_quality
@@ -12,8 +14,10 @@ QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_chat": op2_chat,
     "op5_packing": op5_packing,
+    "op6_lines": op6_lines,
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
