@@ -6,6 +6,7 @@ from .chat import ORACLE_OP2, op2_chat
 from .jaccard import op10_jaccard
 from .licenses import op8_licenses
 from .lines import op6_lines
+from .neighbours import op4_neighbours
 from .packing import op5_packing
 from .pieces import op1_pieces
 from .quality import op9_quality
@@ -13,6 +14,7 @@ from .quality import op9_quality
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_chat": op2_chat,
+    "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op6_lines": op6_lines,
     "op8_licenses": op8_licenses,
