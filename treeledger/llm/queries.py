@@ -10,6 +10,7 @@ from .neighbours import op4_neighbours
 from .packing import op5_packing
 from .pieces import op1_pieces
 from .quality import op9_quality
+from .scoring import op7_scoring
 
 QUERIES = {
     "op1_pieces": op1_pieces,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op6_lines": op6_lines,
+    "op7_scoring": op7_scoring,
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
