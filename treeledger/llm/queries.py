@@ -11,10 +11,12 @@ from .packing import op5_packing
 from .pieces import op1_pieces
 from .quality import op9_quality
 from .scoring import op7_scoring
+from .suffixes import op3_suffixes
 
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_chat": op2_chat,
+    "op3_suffixes": op3_suffixes,
     "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op6_lines": op6_lines,
