@@ -18,6 +18,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,45 +28,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-TABLE_ROWS = 300_000
+TABLE_ROWS = 600_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _tables: dict[str, WordTable] = {}
+#: What the quick path leaves alone: all but ASCII without rare controls and the Latin-1 letters that have cases.
+_ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
+#: How the tokenizer cuts lower-case text of those characters into words.
+_WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
 
 
 class WordTable:
-    """Little-endian 32-bit ids, as bytes, of chunks of text without spaces, line ends or tabs."""
+    """Little-endian 32-bit ids, as bytes, of words and of chunks between spaces, line ends and tabs.
+
+    Most texts have Latin letters, digits and signs only, whose lower case and parts are plain; of these the distinct
+    words are tokenised.  Of other texts the distinct chunks are.
+    """
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        vocab = self.model.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that end a word
+        self.last[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {x: self.encode([x])[0] for x in ".,"}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        self.words: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn_words(self, new: list[str]) -> None:
+        """Tokenises words, each of which the tokenizer takes as one, in a row and cuts their ids apart."""
+        if len(self.words) > TABLE_ROWS:
+            self.words = {}
+        for lo in range(0, len(new), 1000):
+            part = new[lo : lo + 1000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(self.last[ids]) + 1) * 4
+            self.words.update(zip(part, (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+
+    def learn_chunks(self, new: list[str]) -> None:
         if len(self.chunks) > TABLE_ROWS:
             self.chunks = {"": b""}
-        if len(self.words) > TABLE_ROWS:
-            self.words = {x: self.words[x] for x in ".,"}
-        new = chunks.difference(self.chunks)
-        split: list[tuple[str, str, str]] = []
-        for x in new:  # letters of Latin-1, perhaps with a full stop or comma: their lower case has a place of its own
-            if x < "Ā" and max(x) < "Ā":
-                body, tail = (x[:-1], x[-1]) if x[-1] in ".," else (x, "")
-                split.append((x, body.lower(), tail) if body.isalpha() else (x, x, ""))
-            else:
-                split.append((x, x, ""))
-        words = list({w for _, w, _ in split}.difference(self.words))
-        self.words.update(zip(words, self.encode(words), strict=True))
-        self.chunks.update((x, self.words[w] + self.words[t] if t else self.words[w]) for x, w, t in split)
+        got = self.model.encode_batch_fast(new, add_special_tokens=False)
+        self.chunks.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(new, got, strict=True))
 
     def tokens(self, texts: list[str], end: int) -> list[bytes]:
-        parts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        self.learn(set().union(*parts))
+        plain = [_ODD.search(x) is None for x in texts]
+        parts = [_WORD.findall(x.lower()) if p else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x, p in zip(texts, plain, strict=True)]
+        for kind, learn in ((True, self.learn_words), (False, self.learn_chunks)):
+            known = self.words if kind else self.chunks
+            if len(known) > TABLE_ROWS:
+                known = {}  # it is emptied below
+            new = set().union(*[x for x, p in zip(parts, plain, strict=True) if p is kind]).difference(known)
+            if new:
+                learn(list(new))
         tail = end.to_bytes(4, "little")
-        return [b"".join([*map(self.chunks.__getitem__, x), tail]) for x in parts]
+        return [b"".join([*map((self.words if p else self.chunks).__getitem__, x), tail]) for x, p in zip(parts, plain, strict=True)]
 
 
 def table(path: str) -> WordTable:
