@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import ORACLE_OP2, op2_chat
 from .jaccard import op10_jaccard
 from .licenses import op8_licenses
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

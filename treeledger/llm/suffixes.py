@@ -295,6 +295,41 @@ def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 50, budget
     return dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").unionByName(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("spans")))
 
 
+def dedup_passages(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
+    """docs, all their columns, with text without the characters whose bytes all lie in ranges that go."""
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+    spans = removed_spans(spark, docs.select("doc_id", "text"), length).where("spans is not null").select("doc_id", F.xxhash64("text").alias("_text"), "spans").distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text")).join(spans.hint("shuffle_hash"), ["doc_id", "_text"], "left").select(*names, "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for i, (raw, spans) in enumerate(zip(tb.as_bytes(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                if spans:
+                    texts[i] = without(raw, np.frombuffer(spans, "<i8").reshape(-1, 2).tolist())
+            cols = [pa.array(texts, b.schema.field(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def without(raw: bytes, spans: list[list[int]]) -> str:
+    """The text without the characters that lie whole in the spans."""
+    lead = np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True)
+    parts, done = [], 0
+    for lo, hi in spans:
+        hi = min(hi, len(raw))
+        while lo < hi and not lead[lo]:
+            lo += 1
+        while hi > lo and not lead[hi]:
+            hi -= 1
+        if lo < hi:
+            parts.append(raw[done:lo])
+            done = hi
+    return b"".join([*parts, raw[done:]]).decode()
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = removed_spans(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
