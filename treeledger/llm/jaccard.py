@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph, packed
@@ -268,16 +268,15 @@ class PrefixTree:
         flags[probe] = False
 
 
-def links_in_group(cls: list[int], sizes: list[int], keys: list[bytes], dfs: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """A forest of links between the sets of a group."""
-    lengths = [len(k) // 8 for k in keys]
-    key = np.frombuffer(b"".join(keys), "<u8")
-    df = np.frombuffer(b"".join(dfs), "<u4")
+def links_in_group(cls: list[int], sizes: list[int], keys: list[np.ndarray], dfs: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of links between the sets of a group; without document frequencies the order is by value alone."""
+    key = np.concatenate(keys)
+    df = np.concatenate(dfs) if dfs is not None else np.zeros(len(key), np.uint32)
     order = np.lexsort((key, df))
     fresh = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (df[order][1:] != df[order][:-1])])
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(fresh)
-    cut = np.concatenate([[0], np.cumsum(lengths)])
+    cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     sets = [rank[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     by = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
     sets, sizes, cls = [sets[i] for i in by], np.array([sizes[i] for i in by], np.int64), [cls[i] for i in by]
@@ -288,27 +287,32 @@ def links_in_group(cls: list[int], sizes: list[int], keys: list[bytes], dfs: lis
     return out
 
 
-def group_links(spark: SparkSession, found: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between classes, a forest for each pair of blocks of a group."""
+def candidate_groups(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """vertex and root of the classes that share a value of prefix with another class."""
     tokens = found.select("class", F.explode("prefix").alias("shingle"))
     least = tokens.groupBy("shingle").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = tokens.join(least, "shingle").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    groups = graph.components(spark, stars)
-    members = found.select("class", "n", "keys", "df").join(groups.withColumnRenamed("vertex", "class"), "class")
-    size = members.groupBy("root").agg(F.ceil(F.sum(F.length("keys")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    return graph.components(spark, tokens.join(least, "shingle").where("class <> b").select(F.col("class").alias("a"), "b").distinct())
+
+
+def block_pairs(members: DataFrame, weight: Column, block: int) -> DataFrame:
+    """members with blocks, mine and other: root is dealt into blocks of about that weight, and each pair of blocks meets."""
+    size = members.groupBy("root").agg(F.ceil(F.sum(weight) / F.lit(block)).cast("int").alias("blocks"))
     dealt = members.join(size, "root").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "n", "keys", "df")
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+
+def links(pairs: DataFrame, n: int, columns: tuple[str, ...], compare) -> DataFrame:
+    """a, b: what compare gives for the rows (lists of columns) of each pair of blocks of a root."""
+    dealt = pairs.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *columns)
     dealt = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                got = links_in_group(*[[r[c] for r in held] for c in ("class", "n", "keys", "df")], percent)
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            got = compare(*[[r[c] for r in held] for c in columns]) if len(held) > 1 else ()
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for row in packed.rows_of(batches):
             key = (row["root"], row["i"], row["j"])
@@ -321,12 +325,22 @@ def group_links(spark: SparkSession, found: DataFrame, n: int, percent: int) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _links(spark: SparkSession, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links between classes, a forest for each pair of blocks of a group."""
+    members = found.select("class", "n", "keys", "df").join(candidate_groups(spark, found).withColumnRenamed("vertex", "class"), "class")
+
+    def compare(cls: list[int], sizes: list[int], keys: list[bytes], dfs: list[bytes]) -> list[tuple[int, int]]:
+        return links_in_group(cls, sizes, [np.frombuffer(x, "<u8") for x in keys], [np.frombuffer(x, "<u4") for x in dfs], percent)
+
+    return links(block_pairs(members, F.length("keys"), BLOCK_BYTES), n, ("class", "n", "keys", "df"), compare)
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent% Jaccard)."""
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
     found = _candidates(_by_class(_by_shingle(docs, width, n), n), n, percent).checkpoint()
-    roots = graph.components(spark, group_links(spark, found, n, percent))
+    roots = graph.components(spark, _links(spark, found, n, percent))
     rows = _document_classes(docs, width).join(roots.withColumnRenamed("vertex", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

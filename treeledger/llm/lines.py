@@ -4,9 +4,9 @@ A line (between line ends, without the white space around it) is known by a 64-b
 ``width`` characters (the line itself, if shorter).  The steps:
 
 1. Each distinct line gets ``bands * rows`` minima of its shingles' hashes; lines that agree in a whole band are
-   candidates.  At a similarity of 0.8 a pair is missed with probability (1 - 0.8**rows)**bands, below 0.0004 here.
-2. Candidates are joined into groups (distributed union-find over one star per band value), and the exact Jaccard
-   similarity of a group's sets is checked in prefix trees, large groups in blocks.
+   candidates.  At a similarity of 0.8 a pair is missed with probability (1 - 0.8**rows)**bands, below 0.002 here.
+2. The lines that agree in a band are a group, taken once where several bands give the same lines; the exact Jaccard
+   similarity of a group's sets is checked in prefix trees, large groups in pairs of blocks.
 3. Distributed union-find over the verified links gives components of lines; equal lines are one line from the start.
 4. Of each component the first line in the document with the smallest doc_id stays.
 
@@ -28,7 +28,9 @@ from . import graph, jaccard, packed
 from . import textbytes as tb
 
 U64 = np.uint64
-WIDTH, BANDS, ROWS = 8, 15, 4
+WIDTH, BANDS, ROWS = 8, 9, 3
+#: Lines of a group in a block; wanted lines up to which their places are broadcast (some tens of bytes each).
+BLOCK_LINES, BROADCAST_LINES = 4000, 1_000_000
 _draw = np.random.default_rng(7)
 _MULTIPLY = (_draw.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -88,7 +90,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _bands(docs: DataFrame, n: int) -> DataFrame:
-    """line, doc_id (a document that holds it), prefix (its band values that other lines share)."""
+    """root, class, doc_id: groups of lines that agree in a band, with a document that holds each."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s in _slices(batches):
@@ -122,53 +124,52 @@ def _bands(docs: DataFrame, n: int) -> DataFrame:
         key, line, doc = key[fresh], line[fresh], doc[fresh]
         same = key[1:] == key[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, line, doc = key[keep].view(np.int64), line[keep].view(np.int64), doc[keep]
+        key, line, doc = key[keep], line[keep], doc[keep]
+        at = packed.starts(key)
+        count = np.diff(np.append(at, len(key)))
+        root = np.repeat(tb.mix(np.add.reduceat(tb.mix(line), at) ^ count.astype(U64)) if len(at) else key, count)  # of the lines alone
         for lo in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (line, doc, key)], names=["line", "doc_id", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000].view(np.int64)) for x in (root, line, doc)], names=["root", "class", "doc_id"])
 
     blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, keys binary, lines binary, docs binary")
-    met = packed.deal(blobs, n).mapInArrow(meet, "line long, doc_id long, band long")
-    return met.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.collect_set("band").alias("prefix"))  # at most BANDS values
+    return packed.deal(blobs, n).mapInArrow(meet, "root long, class long, doc_id long").groupBy("root", "class").agg(F.min("doc_id").alias("doc_id"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class (the line), n, prefix, keys and df of the wanted lines, as jaccard.group_links takes them."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "prefix")).alias("wanted"))  # at most a document's lines
-    rows = docs.select("doc_id", "text").join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
+def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """The wanted lines (class, root, blocks, mine, other, doc_id) with their text.  few: their places can be broadcast."""
+    place = F.struct("class", "root", "mine", "other")
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(place).alias("wanted"))  # at most a document's lines, in their blocks
+    rows = docs.select("doc_id", "text").join(F.broadcast(per_doc) if few else per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2)
             for s in tb.slices(tb.as_bytes(b.column(1))):
                 first, last, doc, line = find_lines(s)
-                asked = [{x["line"]: x["prefix"] for x in w} for w in wanted.slice(s.lo, s.n).to_pylist()]
-                signed, seen, at = line.view(np.int64).tolist(), set(), []
-                for i, d in enumerate(doc.tolist()):
-                    if signed[i] in asked[d] and (d, signed[i]) not in seen:
-                        seen.add((d, signed[i]))
-                        at.append(i)
-                if not at:
-                    continue
-                shingle, cut = line_shingles(s, first[at], last[at], WIDTH)
-                sets = [np.unique(shingle[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                cols = [
-                    pa.array([signed[i] for i in at], pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([asked[int(doc[i])][signed[i]] for i in at], pa.list_(pa.int64())),
-                    pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
-                    pa.array([np.ones(len(x), "<u4").tobytes() for x in sets], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["class", "n", "prefix", "keys", "df"])
-
-    return rows.mapInArrow(run, "class long, n long, prefix array<long>, keys binary, df binary").dropDuplicates(["class"])
+                raw, out = s.buf.tobytes(), []
+                at = {(d, x): (f, e) for d, x, f, e in zip(doc.tolist(), line.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)}
+                for d, places in enumerate(b.column(2).slice(s.lo, s.n).to_pylist()):
+                    out += [(p["class"], p["root"], p["mine"], p["other"], raw[slice(*at[d, p["class"]])]) for p in places if (d, p["class"]) in at]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["class", "root", "mine", "other", "text"])
+
+    return rows.mapInArrow(run, "class long, root long, mine int, other int, text binary")
 
 
 def line_components(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """vertex and root: lines that are linked with other lines, by their hashes."""
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
-    found = _sets(docs, _bands(docs, n)).checkpoint()
-    return graph.components(spark, jaccard.group_links(spark, found, n, percent))
+    found = _bands(docs, n).checkpoint()
+    wanted = jaccard.block_pairs(found, F.lit(1), BLOCK_LINES)
+    texts = _texts(docs, wanted, found.count() <= BROADCAST_LINES)
+
+    def compare(cls: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
+        s = tb.Slice(texts, 0)
+        shingle, cut = line_shingles(s, s.start, s.end, WIDTH)
+        sets = [np.unique(shingle[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return jaccard.links_in_group(cls, [len(x) for x in sets], sets, None, percent)
+
+    return graph.components(spark, jaccard.links(texts, n, ("class", "text"), compare))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
