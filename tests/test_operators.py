@@ -17,7 +17,8 @@ DIRS = "dir string, ord long, blocks decimal(20,0), links long"
 
 
 def files(spark, *rows):
-    return spark.createDataFrame([(d, n, s, *(x or ("t", "a"))) for d, n, s, *x in [(r[0], r[1], r[2], r[3] if len(r) > 3 else None) for r in rows]], FILES)
+    """(dir, name, size) or (dir, name, size, (stamp, attrs))."""
+    return spark.createDataFrame([(*r[:3], *(r[3] if len(r) > 3 else ("t", "a"))) for r in rows], FILES)
 
 
 def test_changes_take_the_first_difference(spark):

@@ -104,9 +104,10 @@ def _query(sql: str | None):
 _ALL = ", ".join(COUNTERS)
 
 
-@_query(f"{_sql_pair()} SELECT dir, name, CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, kind FROM ch")
+@_query(f"{_sql_pair()} SELECT dir, name, CAST(coalesce(old, 0) AS BIGINT) AS old, CAST(coalesce(new, 0) AS BIGINT) AS new, kind FROM ch")
 def compare_changes(spark, sf):
-    return _long(_pair(spark, sf)[0].select("dir", "name", "old", "new", "kind"), "dir", "name", "kind")
+    side = lambda c: F.coalesce(c, F.lit(0).cast(U64)).alias(c)
+    return _long(_pair(spark, sf)[0].select("dir", "name", side("old"), side("new"), "kind"), "dir", "name", "kind")
 
 
 @_query(f"{_sql_pair()} SELECT dir, {_ALL} FROM s")
@@ -152,7 +153,6 @@ def _rank(name: str, where: str, score: str, pick, single: bool = False) -> None
 _rank("rank_growing_dirs", "new_bytes > old_bytes", "new_bytes - old_bytes", C.growing_dirs)
 _rank("rank_shrinking_dirs", "new_bytes < old_bytes", "old_bytes - new_bytes", C.shrinking_dirs)
 _rank("rank_count_dirs", "new_files <> old_files", "abs(new_files - old_files)", C.count_dirs)
-_rank("rank_block_dirs", "new_bytes = old_bytes AND new_blocks <> old_blocks", "abs(new_blocks - old_blocks)", C.block_dirs)
 _rank("rank_largest_dirs", "new_files > 0", "new_bytes", C.largest_dirs, single=True)
 
 _PLACED = "SELECT ch.dir, ch.name, CAST(coalesce(old, 0) AS BIGINT) AS old, CAST(coalesce(new, 0) AS BIGINT) AS new, kind, ad.dir IS NULL AS gone, coalesce(ad.supplier, 0) AS place, CAST({score} AS BIGINT) AS score FROM ch LEFT JOIN ad ON ad.dir = ch.dir WHERE {where} ORDER BY score DESC, gone, place, ch.dir, ch.name LIMIT " + str(TOP)
@@ -172,9 +172,24 @@ _rank_files("rank_increases", "coalesce(new, 0) > coalesce(old, 0)", "coalesce(n
 _rank_files("rank_decreases", "coalesce(new, 0) < coalesce(old, 0)", "coalesce(old, 0) - coalesce(new, 0)", C.decreases)
 
 
-@_query(f"{_sql_pair()} SELECT dir, new_blocks - old_blocks AS block_delta FROM s WHERE new_bytes = old_bytes AND (added + removed + resized + mtime_only + attrs_only > 0 OR old_blocks <> new_blocks OR old_dirs <> new_dirs OR old_links <> new_links)")
+def _block_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Directory counters of the documents tree against itself, with some attributes and block totals changed."""
+    docs = _table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "source").alias("dir"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").cast(U64).alias("size"), F.lit("").alias("stamp"), F.when(F.col("doc_id") % 11 == 0, "b").otherwise("a").alias("attrs"), F.substring("source", 4, 9).cast("long").alias("supplier"))
+    before = docs.withColumn("attrs", F.lit("a"))
+    return C.directory_summary(C.changes(before, docs), _dirs(docs, "before"), _dirs(docs, "after"))
+
+
+_SQL_BLOCKS = "WITH t AS (SELECT lang || '/' || source AS dir, CAST(substr(source, 4) AS BIGINT) AS k, count(*) AS n, count(*) FILTER (doc_id % 11 = 0) AS attrs_only FROM documents GROUP BY 1, 2)"
+
+
+@_query(f"{_SQL_BLOCKS} SELECT dir, n * 4096 AS old_blocks, n * 4096 + k % 3 * 1024 AS new_blocks, k % 3 * 1024 AS score FROM t WHERE k % 3 > 0 ORDER BY score DESC, dir LIMIT {TOP}")
+def rank_block_dirs(spark, sf):
+    return _long(C.block_dirs(_block_summary(spark, sf), TOP).select("dir", "old_blocks", "new_blocks", "score"), "dir")
+
+
+@_query(f"{_SQL_BLOCKS} SELECT dir, attrs_only, k % 3 * 1024 AS block_delta FROM t WHERE attrs_only > 0 OR k % 3 > 0")
 def no_growth_dirs(spark, sf):
-    return C.no_growth(_pair(spark, sf)[1]).select("dir", C.block_delta().cast("long").alias("block_delta"))
+    return _long(C.no_growth(_block_summary(spark, sf)).select("dir", "attrs_only", C.block_delta().alias("block_delta")), "dir")
 
 
 def _semi(name: str, how: str, sql: str) -> None:
