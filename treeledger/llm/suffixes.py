@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from . import textbytes as tb
 
 U64 = np.uint64
 SHARD_BYTES = 2 << 20
+#: Strings of segments that are held against their documents at once.
+STRINGS = 1 << 19
 ANCHOR = 16
 
 
@@ -55,7 +58,7 @@ def segments(s: tb.Slice, length: int, anchor: int) -> tuple[np.ndarray, np.ndar
     fresh = valid[:-1] & np.concatenate([[True], (low[1:] != low[:-1]) | ~valid[:-2]])
     first = np.flatnonzero(fresh)
     stop = np.flatnonzero(valid[:-1] & (np.append(fresh[1:], True) | ~valid[1:])) + 1
-    return low[first], first, stop - first, s.document(first)
+    return tb.mix(low[first]), first, stop - first, s.document(first)  # least hashes crowd near 0: mixed, they spread over all parts
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
@@ -127,6 +130,7 @@ def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
     names = ("part", "keys", "sizes", "texts", "which", "docs", "begins")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squash = zstandard.ZstdCompressor(level=1)
         for b, ids, s in _slices(batches):
             key, first, count, doc = segments(s, length, anchor)
             shared = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
@@ -146,7 +150,7 @@ def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 a, e = edge[k], edge[k + 1]
                 mine = one[(one >= a) & (one < e)]
-                rows.append((k, packed.squeeze(key[mine]), packed.planes(size[mine], "<u4"), b"".join(raw[f : f + z] for f, z in zip(first[mine].tolist(), size[mine].tolist(), strict=True)), packed.planes(which[a:e] - which[a], "<u4"), packed.planes(ids[doc[a:e]], "<i8"), packed.planes(first[a:e] - s.start[doc[a:e]], "<u4")))
+                rows.append((k, packed.squeeze(key[mine]), packed.planes(size[mine], "<u4"), squash.compress(b"".join(raw[f : f + z] for f, z in zip(first[mine].tolist(), size[mine].tolist(), strict=True))), packed.planes(which[a:e] - which[a], "<u4"), packed.planes(ids[doc[a:e]], "<i8"), packed.planes(first[a:e] - s.start[doc[a:e]], "<u4")))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
@@ -197,7 +201,8 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
             key.append(packed.expand(r["keys"]))
             size.append(sizes)
             cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            texts += [r["texts"][a:e] for a, e in zip(cut, cut[1:])]
+            raw = zstandard.decompress(r["texts"])
+            texts += [raw[a:e] for a, e in zip(cut, cut[1:])]
             which.append(packed.unplanes(r["which"], "<u4").astype(np.int64) + base)
             doc.append(packed.unplanes(r["docs"], "<i8"))
             begin.append(packed.unplanes(r["begins"], "<u4").astype(np.int64))
@@ -229,19 +234,20 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
         cut = np.concatenate([[0], np.cumsum(count)])
         low = np.minimum.reduceat(found, cut[:-1])
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for step in range(0, len(mine), 2000):
-            at = [place[stands[k] : stands[k + 1]] for k in mine[step : step + 2000]]
-            owner = np.repeat(np.arange(step, step + len(at)), [len(x) for x in at])
-            at = np.concatenate(at)
-            some = doc[at] > low[owner]
-            at, owner = at[some], owner[some]
-            if not len(at):
+        at = np.concatenate([place[stands[k] : stands[k + 1]] for k in mine])
+        owner = np.repeat(np.arange(len(mine)), [stands[k + 1] - stands[k] for k in mine])
+        some = doc[at] > low[owner]
+        at, owner = at[some], owner[some]
+        reach = np.concatenate([[0], np.cumsum(count[owner])])
+        steps = np.append(packed.starts(reach[:-1] // STRINGS), len(at)).tolist()
+        for step, end in zip(steps[:-1], steps[1:], strict=True):  # so many strings at once, however often a segment stands
+            n_of, base = count[owner[step:end]], cut[owner[step:end]]
+            offset = np.arange(reach[end] - reach[step]) - np.repeat(reach[step:end] - reach[step], n_of)
+            place_of = np.repeat(at[step:end], n_of)
+            hit = np.flatnonzero(found[np.repeat(base, n_of) + offset] < doc[place_of])
+            if not len(hit):
                 continue
-            reach = np.concatenate([[0], np.cumsum(count[owner])])
-            offset = np.arange(reach[-1]) - np.repeat(reach[:-1], count[owner])
-            hit = found[np.repeat(cut[owner], count[owner]) + offset] < np.repeat(doc[at], count[owner])
-            hit, offset, place_of = np.flatnonzero(hit), offset, np.repeat(at, count[owner])
-            first = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (place_of[hit[1:]] != place_of[hit[:-1]])])) if len(hit) else hit
+            first = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (place_of[hit[1:]] != place_of[hit[:-1]])]))
             last = np.append(first[1:], len(hit)) - 1
             p = place_of[hit[first]]
             out.append((doc[p], begin[p] + offset[hit[first]], begin[p] + offset[hit[last]] + length))
