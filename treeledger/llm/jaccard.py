@@ -36,6 +36,8 @@ U64 = np.uint64
 SLICE = 2 << 20
 #: Bytes of sets in a block of a group.
 BLOCK_BYTES = 8 << 20
+#: Rows of small groups that are compared in one call.
+GROUP_ROWS = 1500
 
 
 def shingles(s: tb.Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,25 +304,28 @@ def block_pairs(members: DataFrame, weight: Column, block: int) -> DataFrame:
 
 
 def links(pairs: DataFrame, n: int, columns: tuple[str, ...], compare) -> DataFrame:
-    """a, b: what compare gives for the rows (lists of columns) of each pair of blocks of a root."""
+    """a, b: what compare gives for some groups; a group has the rows (as tuples of columns) of a pair of blocks of a root."""
     dealt = pairs.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *columns)
     dealt = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            got = compare(*[[r[c] for r in held] for c in columns]) if len(held) > 1 else ()
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
+        at, held, groups, size = None, [], [], 0
         for row in packed.rows_of(batches):
             key = (row["root"], row["i"], row["j"])
             if key != at:
-                yield from flush()
+                groups += [held] if len(held) > 1 else []
+                size += len(held)
                 at, held = key, []
-            held.append(row)
-        yield from flush()
+                if size >= GROUP_ROWS:
+                    yield from found(groups)
+                    groups, size = [], 0
+            held.append(tuple(row[c] for c in columns))
+        yield from found([*groups, held] if len(held) > 1 else groups)
+
+    def found(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        got = compare(groups) if groups else []
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -329,8 +334,11 @@ def _links(spark: SparkSession, found: DataFrame, n: int, percent: int) -> DataF
     """a, b: links between classes, a forest for each pair of blocks of a group."""
     members = found.select("class", "n", "keys", "df").join(candidate_groups(spark, found).withColumnRenamed("vertex", "class"), "class")
 
-    def compare(cls: list[int], sizes: list[int], keys: list[bytes], dfs: list[bytes]) -> list[tuple[int, int]]:
-        return links_in_group(cls, sizes, [np.frombuffer(x, "<u8") for x in keys], [np.frombuffer(x, "<u4") for x in dfs], percent)
+    def compare(groups: list[list[tuple]]) -> list[tuple[int, int]]:
+        out = []
+        for cls, sizes, keys, dfs in (zip(*g, strict=True) for g in groups):
+            out += links_in_group(cls, sizes, [np.frombuffer(x, "<u8") for x in keys], [np.frombuffer(x, "<u4") for x in dfs], percent)
+        return out
 
     return links(block_pairs(members, F.length("keys"), BLOCK_BYTES), n, ("class", "n", "keys", "df"), compare)
 

@@ -163,11 +163,33 @@ def line_components(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     wanted = jaccard.block_pairs(found, F.lit(1), BLOCK_LINES)
     texts = _texts(docs, wanted, found.count() <= BROADCAST_LINES)
 
-    def compare(cls: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
-        s = tb.Slice(texts, 0)
+    def compare(groups: list[list[tuple]]) -> list[tuple[int, int]]:
+        """Sets of all lines at once; groups of two by counting what stands twice, larger ones in prefix trees."""
+        cls, raw = zip(*(r for g in groups for r in g), strict=True)
+        n_of = np.array([len(g) for g in groups])
+        begin = np.cumsum(n_of) - n_of
+        s = tb.Slice(list(raw), 0)
         shingle, cut = line_shingles(s, s.start, s.end, WIDTH)
-        sets = [np.unique(shingle[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return jaccard.links_in_group(cls, [len(x) for x in sets], sets, None, percent)
+        line = np.repeat(np.arange(len(raw)), np.diff(cut))
+        order = np.lexsort((shingle, line))
+        shingle, line = shingle[order], line[order]
+        fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (shingle[1:] != shingle[:-1])])
+        shingle, line = shingle[fresh], line[fresh]
+        size = np.bincount(line, minlength=len(raw))
+        group = np.repeat(np.arange(len(groups)), n_of)
+        pair = n_of[group[line]] == 2
+        value, owner = shingle[pair], group[line[pair]]
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        both = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (value[1:] == value[:-1])], minlength=len(groups))
+        a, b = begin, np.minimum(begin + 1, len(raw) - 1)
+        linked = (n_of == 2) & (100 * both >= percent * (size[a] + size[b] - both))
+        out = [(cls[begin[g]], cls[begin[g] + 1]) for g in np.flatnonzero(linked).tolist()]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        for g in np.flatnonzero(n_of > 2).tolist():
+            mine = range(begin[g], begin[g] + n_of[g])
+            out += jaccard.links_in_group([cls[i] for i in mine], [int(size[i]) for i in mine], [shingle[ends[i] : ends[i + 1]] for i in mine], None, percent)
+        return out
 
     return graph.components(spark, jaccard.links(texts, n, ("class", "text"), compare))
 
