@@ -1,7 +1,9 @@
 """Pieces, chat, packing, licenses and quality against libraries and brute force."""
 
 import hashlib
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -172,6 +174,52 @@ def test_licenses_equal_brute_force(spark, docs):
     assert licenses.scan(docs.limit(0), licenses.word_order(docs.limit(0))).count() == 0
 
 
+def brute_runs(text, threshold=0.8):
+    """Labels and score of templates, by lines and by every run of words over line ends."""
+    x = (text or "").translate(LOWER)
+    w, labels, score = words(x, WORD8), set(), 0.0
+    for label, template in licenses.TEMPLATES:
+        t = template.replace(".", " ").split()
+        n = -(-len(t) * 5 // 4)
+        blocks = [words(line, WORD8) for line in x.split("\n")] + [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+        share = max(len(set(b) & set(t)) / len(set(t)) for b in blocks)
+        if share >= threshold - 1e-12:
+            labels.add(label)
+            score = max(score, share)
+    return labels, score
+
+
+def test_licenses_across_line_ends(spark, docs):
+    rng = random.Random(8)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.replace(".", " ").split()}) + [f"other{k}" for k in range(40)]
+    wrapped = ["# " + "\n# ".join(textwrap.wrap(t, width, break_long_words=False)) for _, t in licenses.TEMPLATES for width in (12, 30, 60)]
+    mixed = []
+    for _ in range(120):
+        w = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+            w.insert(rng.randrange(len(w)), rng.choice(pool))
+        w = [rng.choice(pool) for _ in range(rng.randrange(40))] + w + [rng.choice(pool) for _ in range(rng.randrange(40))]
+        mixed.append("".join(x + rng.choice("    \n") for x in w))
+    texts = [*wrapped, *mixed, "released\nunder the mit license", "released\n" + "other " * 9 + "under the mit license", "the mit\n" * 3000]
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 1000)), "doc_id long, text string"))
+    order = licenses.word_order(all_docs)
+    got = {(r["doc_id"], r["text"]): r for r in licenses.scan(all_docs, order, phrases=(("no such phrase", "none"), ("nor this one", "none")), across=True).join(all_docs, "doc_id").collect()}
+    seen = set()
+    for r in all_docs.where("doc_id >= 1000").collect():
+        labels, score = brute_runs(r["text"])
+        mine = got[r["doc_id"], r["text"]]
+        assert (set(mine["labels"]), round(mine["score"], 9)) == (labels, round(score, 9)), r["text"]
+        seen |= labels
+    assert seen == {label for label, _ in licenses.TEMPLATES}
+    lines = {r["doc_id"]: r for r in licenses.scan(all_docs, order).collect()}
+    for i, (label, _) in enumerate((t for t in licenses.TEMPLATES for _ in range(3)), 1000):
+        mine = got[i, texts[i - 1000]]
+        assert label in mine["labels"] and mine["score"] == 1.0 and set(lines[i]["labels"]) <= {*mine["labels"], "cc-by", "gpl", "reserved"}
+    plan = licenses.scan(all_docs, order, across=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def brute_counts(text):
     w = words(text)
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

@@ -1,6 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates, with DataFrame functions only.
 
-A block is a line.  A block matches a template when it holds at least ``threshold`` of the template's distinct words.
+A block is a line or, with ``across``, also any run of consecutive words of the whole text, over line ends, as long as the
+template and so much more that foreign words may make up ``1 - threshold`` of it: a notice is found however it is wrapped,
+at every place.  A block matches a template when it holds at least ``threshold`` of the template's distinct words.
 The join is exact: template words are put in one global order, rarest in the corpus first (document frequencies over all
 texts, counted for the template words alone, so their number is fixed by the templates); a block can only match if it
 
@@ -8,6 +10,9 @@ texts, counted for the template words alone, so their number is fixed by the tem
 * has at least ``need`` distinct words (length filter), and
 * leaves enough words behind the first shared one, on both sides, to reach ``need`` (positional filter).
 
+Runs are only looked at around words of a template's prefix, where the neighbourhood, as far as a run with that word can
+reach, has ``need`` distinct words; the work stays in proportion to the text.
+
 What passes the filters is verified by its exact overlap.  The index of prefixes is made of literals as large as the
 templates, so each text is scanned where it lies and no text is shuffled.
 
@@ -56,6 +61,11 @@ def _words(template: str) -> list[str]:
     return sorted(set(template.replace(".", " ").split()))
 
 
+def run_length(template: str, threshold: float) -> int:
+    """Words of a run that is compared with the template: its own, and foreign ones up to 1 - threshold of the run."""
+    return math.ceil(len(template.replace(".", " ").split()) / threshold - 1e-9)
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, lines (lowered, words with single spaces between) and padded (all words, a space before and behind each)."""
     lined = docs.select("doc_id", F.regexp_replace(_lowered(F.col("text")), BETWEEN, " ").alias("lined"))
@@ -70,10 +80,11 @@ def word_order(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLAT
     return sorted(known, key=lambda w: (count.get(w, 0), w))
 
 
-def scan(docs: DataFrame, order: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, order: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = 0.8, across: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score.
 
-    score is the largest share of a template's words that a matching block holds, and 1 where a phrase stands.
+    score is the largest share of a template's words that a matching block holds, and 1 where a phrase stands.  Blocks are
+    lines alone unless across is set.
     """
     rank = {w: i for i, w in enumerate(order)}
     ready = prepared(docs).select("*", (_spaces(F.col("padded")) - 1).cast("long").alias("n_words"))
@@ -92,15 +103,30 @@ def scan(docs: DataFrame, order: list[str], templates: tuple[tuple[str, str], ..
     index = []
     for label, text in templates:
         words = sorted(_words(text), key=rank.__getitem__)
-        index.append((label, words, math.ceil(threshold * len(words) - 1e-9)))
-    prefixes = sorted({w for _, words, need in index for w in words[: len(words) - need + 1]}, key=rank.__getitem__)
+        index.append((label, words, math.ceil(threshold * len(words) - 1e-9), run_length(text, threshold)))
+    prefixes = sorted({w for _, words, need, _ in index for w in words[: len(words) - need + 1]}, key=rank.__getitem__)
     lits = lambda words: F.array(*map(F.lit, words))
     near = F.filter(F.split("lined", "\n"), lambda x: F.arrays_overlap(F.split(x, " "), lits(prefixes)))
     candidates = F.when(F.arrays_overlap(F.split("padded", " "), lits(prefixes)), F.transform(near, lambda x: F.array_intersect(lits(order), F.split(x, " "))))
-    ready = ready.withColumn("blocks", F.coalesce(candidates, F.array().cast("array<array<string>>")))
-
-    def best(words: list[str], need: int) -> Column:
+    none = F.array().cast("array<array<string>>")
+    ready = ready.withColumn("blocks", F.coalesce(candidates, none))
+    if across:
+        # every word, and the places (from 1) of those in prefixes; both null where the text has none of them
+        ready = ready.withColumn("words", F.when(F.size("blocks") > 0, F.split("padded", " ")))
+        ready = ready.withColumn("places", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i + 1))))
+
+    def runs(words: list[str], need: int, length: int) -> Column:
+        """Runs of words that may match the template: those with a word of its prefix, in neighbourhoods with enough words."""
+        run = lambda i, n: F.slice("words", i, n)
+        first = lambda i: F.greatest(i - (length - 1), F.lit(1))
+        anchors = F.filter("places", lambda i: F.element_at("words", i).isin(words[: len(words) - need + 1]))
+        near = F.filter(anchors, lambda i: F.size(F.array_intersect(lits(words), run(first(i), i - first(i) + length))) >= need)
+        begins = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(first(i), i))))
+        return F.coalesce(F.transform(begins, lambda i: F.array_intersect(lits(order), run(i, F.lit(length)))), none)
+
+    def best(words: list[str], need: int, length: int) -> Column:
         """The largest overlap of a block with the template, 0 below need.  A block is its template words in global order."""
+        blocks = F.concat("blocks", runs(words, need, length)) if across else F.col("blocks")
 
         def overlap(block: Column) -> Column:
             shared = F.array_intersect(lits(words), block)
@@ -109,12 +135,12 @@ def scan(docs: DataFrame, order: list[str], templates: tuple[tuple[str, str], ..
             in_prefix = F.arrays_overlap(block, lits(words[: len(words) - need + 1]))
             return F.when((F.size(block) >= need) & in_prefix, F.when((left >= need) & (F.size(shared) >= need), F.size(shared)).otherwise(0)).otherwise(0)
 
-        return F.coalesce(F.array_max(F.transform(F.filter("blocks", lambda b: F.size(b) >= need), overlap)), F.lit(0))
+        return F.coalesce(F.array_max(F.transform(F.filter(blocks, lambda b: F.size(b) >= need), overlap)), F.lit(0))
 
-    ready = ready.withColumns({f"t{k}": F.when(F.size("blocks") > 0, best(words, need)).otherwise(0) for k, (_, words, need) in enumerate(index)})
+    ready = ready.withColumns({f"t{k}": F.when(F.size("blocks") > 0, best(words, need, length)).otherwise(0) for k, (_, words, need, length) in enumerate(index)})
     base = [F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]
-    more = [F.when(F.col(f"t{k}") > 0, F.lit(label)) for k, (label, _, _) in enumerate(index)]
-    score = F.greatest(F.lit(0.0), *[F.when(F.col(f"n{k}") > 0, F.lit(1.0)) for k in range(len(phrases))], *[F.col(f"t{k}") / float(len(words)) for k, (_, words, _) in enumerate(index)])
+    more = [F.when(F.col(f"t{k}") > 0, F.lit(label)) for k, (label, *_) in enumerate(index)]
+    score = F.greatest(F.lit(0.0), *[F.when(F.col(f"n{k}") > 0, F.lit(1.0)) for k in range(len(phrases))], *[F.col(f"t{k}") / float(len(words)) for k, (_, words, *_) in enumerate(index)])
     tidy = lambda x: F.array_sort(F.array_distinct(F.array_compact(F.array(*x))))
     return ready.select(
         "doc_id",
@@ -130,5 +156,5 @@ def scan(docs: DataFrame, order: list[str], templates: tuple[tuple[str, str], ..
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = scan(docs, word_order(docs))
+    got = scan(docs, word_order(docs), across=True)
     return got.withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")})
