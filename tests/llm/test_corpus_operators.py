@@ -212,6 +212,22 @@ def test_scores(spark, docs):
     assert scoring.score_texts(spark, more.limit(0)).count() == 0
 
 
+def test_scores_count_every_training_bigram(spark):
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12))) for i in range(80)]
+    tokens = [[None, *x.split(" "), None] for _, x in rows]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    one = Counter(w for t, h in zip(tokens, held) if not h for w in t[1:])
+    two = Counter(p for t, h in zip(tokens, held) if not h for p in zip(t, t[1:]))
+    total, low = sum(one.values()) + len(one) + 1, lambda c: 0.75 * 2.0 ** c.bit_length() if c > 1 else float(c)
+    expected = {}
+    for (d, _), t in zip(rows, tokens):
+        p = [0.8 * (low(one[w]) + 1) / total + 0.2 * min(low(two[u, w]), low(one[u])) / low(one[u]) if one[u] else (low(one[w]) + 1) / total for u, w in zip(t, t[1:])]
+        expected[d] = sum(map(math.log10, p))
+    got = {r["doc_id"]: r["score"] for r in scoring.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), bits=64).collect()}
+    assert sum(c == 1 for c in two.values()) > len(two) / 2 and set(got) == set(expected)
+    assert sum(abs(got[d] - expected[d]) < 1e-9 for d in got) >= 78  # a filter may see what isn't there, seldom
+
+
 def test_filter_counts():
     r = np.random.default_rng(3)
     keys = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))

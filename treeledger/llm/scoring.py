@@ -3,7 +3,7 @@
 The model is a bigram model, interpolated with add-one unigrams.  Its counts live in a Bloom filter that is broadcast:
 an n-gram with count c is stored as the elements (n-gram, 1) ... (n-gram, q) with q = 1 + floor(log2 c), and a count is
 read by probing for 1, 2, ... until a probe fails.  All unigrams are stored, and bigrams seen at least ``min_bigram``
-times.  The filter has ``bits`` bits per element, so it follows the corpus, up to ``max_filter_mb``: beyond that bound,
+times, by default all.  The filter has ``bits`` bits per element, so it follows the corpus, up to ``max_filter_mb``: beyond that bound,
 which is what makes it safe to broadcast, nothing is left out, but false positives rise.  The filter is made of one
 segment per range of hash values, each built where the exact counts of that range are.
 
@@ -187,7 +187,7 @@ def _texts(met: DataFrame, n: int) -> DataFrame:
     return packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "ends"), n).mapInArrow(run, "key long, sums double, n_known long")
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 2) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
