@@ -228,6 +228,13 @@ def test_scores_count_every_training_bigram(spark):
     assert sum(abs(got[d] - expected[d]) < 1e-9 for d in got) >= 78  # a filter may see what isn't there, seldom
 
 
+def test_scores_follow_the_corpus_beyond_the_broadcast_bound(spark, docs):
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(5, "twin"), (5, "twin"), (None, "lost"), (6, "TWIN twin")], "doc_id long, text string"))
+    seen = lambda **bound: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in scoring.score_texts(spark, more, **bound).collect())
+    assert seen(max_filter_mb=0) == seen() and sum(seen(max_filter_mb=0).values()) == more.count()
+    assert scoring.score_texts(spark, more.limit(0), max_filter_mb=0).count() == 0
+
+
 def test_filter_counts():
     r = np.random.default_rng(3)
     keys = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))

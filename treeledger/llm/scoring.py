@@ -1,11 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is a bigram model, interpolated with add-one unigrams.  Its counts live in a Bloom filter that is broadcast:
+The model is a bigram model, interpolated with add-one unigrams.  Its counts live in a Bloom filter:
 an n-gram with count c is stored as the elements (n-gram, 1) ... (n-gram, q) with q = 1 + floor(log2 c), and a count is
 read by probing for 1, 2, ... until a probe fails.  All unigrams are stored, and bigrams seen at least ``min_bigram``
-times, by default all.  The filter has ``bits`` bits per element, so it follows the corpus, up to ``max_filter_mb``: beyond that bound,
-which is what makes it safe to broadcast, nothing is left out, but false positives rise.  The filter is made of one
-segment per range of hash values, each built where the exact counts of that range are.
+times, by default all.  The filter has ``bits`` bits per element, so it follows the corpus.  It is made of one segment per range of hash
+values, each built where the exact counts of that range are.  Up to ``max_filter_mb`` the segments are broadcast; a larger
+filter stays where it is: the n-grams of slices of texts are dealt to their segments, and the levels found there are dealt
+back.  Both ways give the same scores.
 
 Exact unigram counts come from one exchange of (word, text, multiplicity) by hash ranges; the base score of a text is the
 sum of what each range says about it, so neither vocabulary nor texts are gathered anywhere.
@@ -17,6 +18,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -98,7 +100,7 @@ def _counts(docs: DataFrame, n: int) -> DataFrame:
 class Filter:
     """A log-frequency Bloom filter in segments: edges are the segments' first bits, and the end."""
 
-    def __init__(self, data: bytes, edges: np.ndarray):
+    def __init__(self, data: bytes | bytearray, edges: np.ndarray):
         self.data, self.edges = np.frombuffer(data, np.uint8), edges
 
     @staticmethod
@@ -106,7 +108,7 @@ class Filter:
         return tb.mix(keys + U64((level * HASHES + which + 1) * 0x9E3779B97F4A7C15 % 2**64)) % bits
 
     @classmethod
-    def segment(cls, keys: np.ndarray, counts: np.ndarray, bits: int, most: int) -> bytes:
+    def segment(cls, keys: np.ndarray, counts: np.ndarray, bits: int, most: int = 2**62) -> bytes:
         levels = np.frexp(counts.astype(float))[1]  # 1 + floor(log2)
         size = min(max(64, -(-int(levels.sum()) * bits // 8) * 8), most)
         flags = np.zeros(size, bool)
@@ -116,8 +118,8 @@ class Filter:
                 flags[cls.places(stored, level, which, U64(size))] = True
         return np.packbits(flags).tobytes()
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts that each key's levels stand for, 0 for keys that aren't there."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """How many levels each key has, 0 for keys that aren't there."""
         n = len(self.edges) - 1
         part = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
         first, bits = self.edges[part], (self.edges[part + 1] - self.edges[part]).astype(U64)
@@ -129,10 +131,18 @@ class Filter:
                 if not len(live):
                     break
             level[live] += 1
+        return level
+
+    @staticmethod
+    def middle(level: np.ndarray) -> np.ndarray:
+        """The middle of the range of counts that levels stand for."""
         return np.where(level > 0, np.where(level > 1, 0.75 * 2.0**level, 1.0), 0.0)
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.middle(self.levels(keys))
+
 
-def _meet(blobs: DataFrame, n: int, bits: int, max_filter_mb: int, min_bigram: int) -> DataFrame:
+def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int) -> DataFrame:
     """Per range of hashes: a row with its filter segment, tokens and distinct words, and rows (part, rows, ...) on texts."""
     kind = "part int, texts binary, sums binary, known binary, ends binary, segment binary, tokens long, distinct long"
 
@@ -156,7 +166,7 @@ def _meet(blobs: DataFrame, n: int, bits: int, max_filter_mb: int, min_bigram: i
         at = packed.starts(word)
         count = np.add.reduceat(times * learn, at) if len(at) else times[:0]
         stored = count > 0
-        segment = Filter.segment(np.concatenate([word[at][stored], pair]), np.concatenate([count[stored], pair_times]), bits, max_filter_mb * 2**23 // n)
+        segment = Filter.segment(np.concatenate([word[at][stored], pair]), np.concatenate([count[stored], pair_times]), bits)
         yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([segment]), pa.array([int(count.sum())]), pa.array([int(stored.sum())])], names=[x.split()[0] for x in kind.split(", ")])
         each = np.repeat(count, np.diff(np.append(at, len(word))))
         order = np.argsort(text)
@@ -187,26 +197,29 @@ def _texts(met: DataFrame, n: int) -> DataFrame:
     return packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "ends"), n).mapInArrow(run, "key long, sums double, n_known long")
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+SCORED = "doc_id long, key long, held_out boolean, n_tokens long, score double"
 
-    score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
-    filter; a previous token without count leaves the unigram alone.
-    """
-    n = packed.n_parts(spark)
-    graph.checkpoint_dir(spark)
-    met = _meet(_counts(docs, n), n, bits, max_filter_mb, min_bigram).checkpoint()
-    segments = {r["part"]: r for r in met.where("segment is not null").select("part", "segment", "tokens", "distinct").collect()}  # max_filter_mb at most
-    empty = bytes(8)
-    data = [bytes(segments[k]["segment"]) if k in segments else empty for k in range(n)]
-    edges = np.concatenate([[0], np.cumsum([8 * len(x) for x in data])]).astype(np.int64)
-    train_tokens, distinct = sum(r["tokens"] for r in segments.values()), sum(r["distinct"] for r in segments.values())
-    total = train_tokens + distinct + 1
-    shared = spark.sparkContext.broadcast((b"".join(data), edges))
-    del data, segments
+
+def _log_p(one: np.ndarray, end: float, both: np.ndarray, weight: float, total: int) -> np.ndarray:
+    """log10 probability of each token, from the counts of tokens, of END and of bigrams."""
+    before = np.concatenate([[end], one[:-1]])
+    low = (one + 1) / total
+    return np.log10(np.where(before > 0, weight * np.minimum(both, before) / np.maximum(before, 1) + (1 - weight) * low, low))
+
+
+def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size: np.ndarray, weight: float, total: int) -> DataFrame:
+    """Scores by a broadcast filter; size has the bytes of each segment, 8 where there is none."""
+    edges = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int64)
+    data = bytearray(int(size.sum()))
+    for r in met.where("segment is not null").select("part", "segment").toLocalIterator():  # one segment at a time
+        at = int(edges[r["part"]]) // 8
+        data[at : at + len(r["segment"])] = r["segment"]
+    shared = spark.sparkContext.broadcast((data, edges))
+    del data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filter(*shared.value)
+        end = f.counts(np.array([END], U64))[0]
         for b in batches:
             ids = b.column(0).to_pylist()
             for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
@@ -214,14 +227,101 @@ def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits:
                 token, owner = tokens(s)
                 kinds, at = np.unique(token, return_inverse=True)
                 one = f.counts(kinds)[at]
-                before = np.concatenate([f.counts(np.array([END], U64)), one[:-1]])
                 pairs, at = np.unique(bigrams(token), return_inverse=True)
-                both = np.minimum(f.counts(pairs)[at], before)
-                low = (one + 1) / total
-                p = np.where(before > 0, weight * both / np.maximum(before, 1) + (1 - weight) * low, low)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(text_key(s, own).view(np.int64)), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(np.bincount(owner, minlength=s.n).astype(np.int64)), "score": pa.array(np.bincount(owner, np.log10(p), minlength=s.n))})
+                p = _log_p(one, end, f.counts(pairs)[at], weight, total)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(text_key(s, own).view(np.int64)), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(np.bincount(owner, minlength=s.n).astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=s.n))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+
+
+def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total: int) -> DataFrame:
+    """Scores by a filter whose segments stay apart: slices ask each segment for the levels of their n-grams.
+
+    A slice is known by a hash of its texts, so equal slices ask and get the same.  Its tokens go to its home part.
+    """
+    kind = "part int, slice long, of int, words binary, pairs binary, tokens binary, sizes binary, keys binary, ids array<long>, segment binary"
+    names = [x.split()[0] for x in kind.split(", ")]
+    schema = pa.schema([pa.field(x, t) for x, t in zip(names, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.binary()], strict=True)])
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_tokens long, score double")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
+                own = ids[s.lo : s.lo + s.n]
+                token, owner = tokens(s)
+                words, at = np.unique(token, return_inverse=True)
+                pairs = np.unique(bigrams(token))
+                key = text_key(s, own).astype("<u8").tobytes()
+                me = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
+                edge, pair_edge = packed.bounds(words, n), packed.bounds(pairs, n)
+                yield batch(*((k, me, k, packed.squeeze(words[edge[k] : edge[k + 1]]), packed.squeeze(pairs[pair_edge[k] : pair_edge[k + 1]])) for k in range(n) if edge[k] < edge[k + 1] or pair_edge[k] < pair_edge[k + 1]))
+                yield batch((me % n, me, None, packed.squeeze(words), None, packed.planes(at, "<u4"), packed.planes(np.bincount(owner, minlength=s.n), "<u4"), key, own))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, waiting = None, []
+
+        def found(r: dict) -> pa.RecordBatch:
+            levels = ((f.levels(packed.expand(r[x])) if f else np.zeros(len(r[x]) // 8)).astype(np.uint8).tobytes() for x in ("words", "pairs"))
+            return batch((r["slice"] % n, r["slice"], r["of"], *levels))
+
+        for r in packed.rows_of(batches):
+            if r["segment"] is not None:
+                f = Filter(r["segment"], np.array([0, 8 * len(r["segment"])], np.int64))
+            elif r["of"] is None:
+                yield batch([r[x] for x in names])
+            elif f is None:
+                waiting.append(r)
+            else:
+                yield found(r)
+            while f and waiting:
+                yield found(waiting.pop())
+        while waiting:  # no training token has a hash in this range
+            yield found(waiting.pop())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, answers = [], {}
+        for r in packed.rows_of(batches):
+            if r["of"] is None:
+                homes.append(r)
+            else:
+                answers.setdefault(r["slice"], {})[r["of"]] = r["words"], r["pairs"]
+        for r in homes:
+            own, sizes, words = r["ids"], packed.unplanes(r["sizes"], "<u4"), packed.expand(r["words"])
+            at = packed.unplanes(r["tokens"], "<u4")
+            pairs, pair_at = np.unique(bigrams(words[at]), return_inverse=True)
+            mine = [x for _, x in sorted(answers[r["slice"]].items())]
+            one, both = (Filter.middle(np.frombuffer(b"".join(x[k] for x in mine), np.uint8).astype(np.int64)) for k in range(2))
+            if len(one) != len(words) or len(both) != len(pairs):
+                raise ValueError("answers of filter segments are missing")
+            p = _log_p(one[at], one[np.searchsorted(words, END)], both[pair_at], weight, total)
+            owner = np.repeat(np.arange(len(own)), sizes)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(np.frombuffer(r["keys"], "<i8")), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(sizes.astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=len(own)))})
+
+    segments = met.where("segment is not null").select("part", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in kind.split(", ")[1:-1]], "segment")
+    asked = docs.select("doc_id", "text").mapInArrow(ask, kind)
+    return packed.deal(packed.deal(asked.unionByName(segments), n).mapInArrow(answer, kind), n).mapInArrow(score, SCORED)
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+
+    score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
+    filter; a previous token without count leaves the unigram alone.
+    """
+    n = packed.n_parts(spark)
+    graph.checkpoint_dir(spark)
+    met = _meet(_counts(docs, n), n, bits, min_bigram).checkpoint()
+    segments = met.where("segment is not null").select("part", F.length("segment").alias("size"), "tokens", "distinct").collect()  # n rows at most
+    size = np.full(n, 8, np.int64)
+    for r in segments:
+        size[r["part"]] = r["size"]
+    train_tokens, distinct = sum(r["tokens"] for r in segments), sum(r["distinct"] for r in segments)
+    total = train_tokens + distinct + 1
+    if size.sum() <= max_filter_mb << 20:
+        scored = _scored_broadcast(spark, docs, met, size, weight, total)
+    else:
+        scored = _scored_dealt(docs, met, n, weight, total)
     rows = scored.join(_texts(met, n), "key")
     base = F.col("sums") - F.col("n_tokens") * F.lit(math.log10(total))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
