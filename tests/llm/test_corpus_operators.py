@@ -197,6 +197,25 @@ def test_packed_values():
     assert all(((keys[a:b] >> np.uint64(32)) * np.uint64(7) >> np.uint64(32) == k).all() for k, (a, b) in enumerate(zip(edge, edge[1:])))
 
 
+def test_line_places_decide_the_broadcast(spark, monkeypatch):
+    same = "the same templated line with many words and the number "
+    docs = spark.createDataFrame([(i, f"{same * 3}{i}") for i in range(20)], "doc_id long, text string")
+    asked = []
+    texts = lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda docs, wanted, few: asked.append((wanted.count(), few)) or texts(docs, wanted, few))
+    whole = {r["root"] for r in lines.line_components(spark, docs).collect()}
+    n, few = asked.pop()
+    assert few and n >= 20 and len(whole) == 1
+    monkeypatch.setattr(lines, "BLOCK_LINES", 3)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", n)  # as many as there are lines in groups, before they are dealt into blocks
+    assert {r["root"] for r in lines.line_components(spark, docs).collect()} == whole
+    places, few = asked.pop()
+    assert places > n and not few
+    monkeypatch.setattr(lines, "BROADCAST_LINES", places)
+    lines.line_components(spark, docs)
+    assert asked.pop() == (places, True)
+
+
 def test_scores(spark, docs):
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(5, "twin"), (5, "twin"), (None, "lost"), (6, "TWIN twin")], "doc_id long, text string"))
     rows = [(r["doc_id"], r["text"]) for r in more.collect()]

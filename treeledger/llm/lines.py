@@ -29,7 +29,7 @@ from . import textbytes as tb
 
 U64 = np.uint64
 WIDTH, BANDS, ROWS = 8, 9, 3
-#: Lines of a group in a block; wanted lines up to which their places are broadcast (some tens of bytes each).
+#: Lines of a group in a block; places of wanted lines up to which they are broadcast (some tens of bytes each).
 BLOCK_LINES, BROADCAST_LINES = 4000, 1_000_000
 _draw = np.random.default_rng(7)
 _MULTIPLY = (_draw.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -135,6 +135,12 @@ def _bands(docs: DataFrame, n: int) -> DataFrame:
     return packed.deal(blobs, n).mapInArrow(meet, "root long, class long, doc_id long").groupBy("root", "class").agg(F.min("doc_id").alias("doc_id"))
 
 
+def _places(found: DataFrame) -> int:
+    """How many rows block_pairs makes of found: each line of a group stands once for each block of its group."""
+    size = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return size.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK_LINES)))).first()[0] or 0
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """The wanted lines (class, root, blocks, mine, other, doc_id) with their text.  few: their places can be broadcast."""
     place = F.struct("class", "root", "mine", "other")
@@ -161,7 +167,7 @@ def line_components(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     graph.checkpoint_dir(spark)
     found = _bands(docs, n).checkpoint()
     wanted = jaccard.block_pairs(found, F.lit(1), BLOCK_LINES)
-    texts = _texts(docs, wanted, found.count() <= BROADCAST_LINES)
+    texts = _texts(docs, wanted, _places(found) <= BROADCAST_LINES)
 
     def compare(groups: list[list[tuple]]) -> list[tuple[int, int]]:
         """Sets of all lines at once; groups of two by counting what stands twice, larger ones in prefix trees."""
