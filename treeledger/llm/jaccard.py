@@ -17,7 +17,9 @@ No pairs of a group are written, only a forest of links; no shingle, partner or
 
 Shingles and classes are known by 64-bit hashes.  Defined results: null texts and texts without words have an empty set
 and are linked with nothing; a text with fewer words than a shingle has them all as its one shingle; repeated rows link;
-an empty table gives an empty result; other columns are ignored.  doc_id must not be null.
+an empty table gives an empty result; other columns are ignored.  A row with a null doc_id links like any other and
+names no component: its component_id is the smallest doc_id that it reaches, or null.  Rows that share a doc_id are rows
+of their own.
 """
 
 from __future__ import annotations
@@ -83,13 +85,15 @@ def classes(gram: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def _document_classes(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key (a hash of the text), class (null for an empty set) and n_shingles of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
                 cls, size = classes(*shingles(s, width), s.n)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(s.lo, s.n), "class": pa.array(cls.view(np.int64), mask=size == 0), "n_shingles": pa.array(size.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(s.lo, s.n), "text_key": b.column(2).slice(s.lo, s.n), "class": pa.array(cls.view(np.int64), mask=size == 0), "n_shingles": pa.array(size.astype(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class long, n_shingles long")
+    return packed.arrow_map(docs.select("doc_id", "text", F.xxhash64("text")), run, "doc_id long, text_key long, class long, n_shingles long")
 
 
 def _by_shingle(docs: DataFrame, width: int, n: int) -> DataFrame:
@@ -114,7 +118,7 @@ def _by_shingle(docs: DataFrame, width: int, n: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["part", "keys", "owners", "classes"]).cast(pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("classes", pa.binary())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, keys binary, owners binary, classes binary")
+    return packed.arrow_map(docs.select("doc_id", "text"), run, "part int, keys binary, owners binary, classes binary")
 
 
 def _by_class(blobs: DataFrame, n: int) -> DataFrame:
@@ -147,7 +151,7 @@ def _by_class(blobs: DataFrame, n: int) -> DataFrame:
             cols = [pa.array([k], pa.int32()), pa.array([packed.squeeze(o[at])]), pa.array([packed.planes(total - count, "<u4")]), pa.array([packed.planes(count, "<u4")]), pa.array([q[shared].astype("<u8").tobytes()]), pa.array([packed.planes(d[shared], "<u4")])]
             yield pa.RecordBatch.from_arrays(cols, names=["part", "classes", "unique", "counts", "keys", "df"])
 
-    return packed.deal(blobs, n).mapInArrow(run, "part int, classes binary, unique binary, counts binary, keys binary, df binary")
+    return packed.arrow_map(packed.deal(blobs, n), run, "part int, classes binary, unique binary, counts binary, keys binary, df binary")
 
 
 def needed(n: int, percent: int) -> int:
@@ -188,25 +192,27 @@ def _candidates(by_class: DataFrame, n: int, percent: int) -> DataFrame:
             rows = [(int(ids[owner[a]].view(np.int64)), int(size[owner[a]]), key[a : min(e, a + prefix[owner[a]])].view(np.int64).tolist(), key[a:e].tobytes(), df[a:e].astype("<u4").tobytes()) for a, e in zip(at[lo : lo + 500].tolist(), end[lo : lo + 500].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["class", "n", "prefix", "keys", "df"])
 
-    return packed.deal(by_class, n).mapInArrow(run, "class long, n long, prefix array<long>, keys binary, df binary")
+    return packed.arrow_map(packed.deal(by_class, n), run, "class long, n long, prefix array<long>, keys binary, df binary")
 
 
 class Forest:
-    """Union-find over a few sets."""
+    """Union-find over a few sets, by labels: the smaller component takes the larger one's label."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
+        self.members = [[k] for k in range(n)]
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    def join(self, x: int, y: int) -> None:
+        x, y = int(self.label[x]), int(self.label[y])
+        if x != y:
+            x, y = (x, y) if len(self.members[x]) >= len(self.members[y]) else (y, x)
+            self.label[self.members[y]] = x
+            self.members[x] += self.members[y]
+            self.members[y] = []
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+    def stars(self, cls: list[int]) -> list[tuple[int, int]]:
+        """Each set's class with the smallest class of its component."""
+        return [(cls[k], low) for own in self.members if len(own) > 1 for low in [min(cls[k] for k in own)] for k in own if cls[k] != low]
 
 
 class PrefixTree:
@@ -253,8 +259,7 @@ class PrefixTree:
         while todo:
             at, overlap = todo.pop()
             lo, hi, depth, end, children = self.nodes[at]
-            mine = forest.root(me)
-            if all(forest.root(i) == mine for i in range(lo, hi)):
+            if (forest.label[lo:hi] == forest.label[me]).all():
                 continue
             first = self.sets[lo]
             overlap += int(np.count_nonzero(flags[first[depth:end]]))
@@ -271,7 +276,8 @@ class PrefixTree:
 
 
 def links_in_group(cls: list[int], sizes: list[int], keys: list[np.ndarray], dfs: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A forest of links between the sets of a group; without document frequencies the order is by value alone."""
+    """The components of a group's links, as links of each set with the smallest class of its component; without document
+    frequencies the order is by value alone."""
     key = np.concatenate(keys)
     df = np.concatenate(dfs) if dfs is not None else np.zeros(len(key), np.uint32)
     order = np.lexsort((key, df))
@@ -282,11 +288,11 @@ def links_in_group(cls: list[int], sizes: list[int], keys: list[np.ndarray], dfs
     sets = [rank[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     by = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
     sets, sizes, cls = [sets[i] for i in by], np.array([sizes[i] for i in by], np.int64), [cls[i] for i in by]
-    tree, forest, out = PrefixTree(sets, sizes), Forest(len(sets)), []
-    flags = np.zeros(int(rank.max()) + 1, bool)
+    tree, forest = PrefixTree(sets, sizes), Forest(len(sets))
+    flags = np.zeros(int(rank.max(initial=-1)) + 1, bool)
     for me, probe in enumerate(sets):
-        tree.walk(probe, int(sizes[me]), me, flags, percent, forest, lambda i, me=me: forest.join(me, i) and out.append((cls[me], cls[i])))
-    return out
+        tree.walk(probe, int(sizes[me]), me, flags, percent, forest, lambda i, me=me: forest.join(me, i))
+    return forest.stars(cls)
 
 
 def candidate_groups(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -327,7 +333,7 @@ def links(pairs: DataFrame, n: int, columns: tuple[str, ...], compare) -> DataFr
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return packed.arrow_map(dealt, run, "a long, b long")
 
 
 def _links(spark: SparkSession, found: DataFrame, n: int, percent: int) -> DataFrame:
@@ -343,21 +349,50 @@ def _links(spark: SparkSession, found: DataFrame, n: int, percent: int) -> DataF
     return links(block_pairs(members, F.length("keys"), BLOCK_BYTES), n, ("class", "n", "keys", "df"), compare)
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent% Jaccard)."""
+def class_roots(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """vertex and root of the classes of docs that link with another class."""
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
     found = _candidates(_by_class(_by_shingle(docs, width, n), n), n, percent).checkpoint()
-    roots = graph.components(spark, _links(spark, found, n, percent))
-    rows = _document_classes(docs, width).join(roots.withColumnRenamed("vertex", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return graph.components(spark, _links(spark, found, n, percent))
+
+
+def _least(rows: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """class and least (over its component) of the classes with several rows or links.
+
+    One row a class takes part in the join by root, however many documents have it.
+    """
+    each = rows.where("class is not null").groupBy("class").agg(least.alias("own"), F.count(F.lit(1)).alias("rows"))
+    each = each.join(roots.withColumnRenamed("vertex", "class"), "class", "left").where("root is not null or rows > 1").checkpoint()
+    low = each.where("root is not null").groupBy("root").agg(F.min("own").alias("least")).checkpoint()
+    return each.join(low, "root", "left").select("class", F.coalesce("least", "own").alias("least"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent% Jaccard)."""
+    roots = class_roots(spark, docs, width, percent)
+    rows = _document_classes(docs, width).checkpoint()  # a few bytes a document; the texts are not shingled again
+    return rows.join(_least(rows, roots, F.min("doc_id")), "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all their columns, whose doc_id is the smallest of its component."""
-    groups = jaccard_components(spark, docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, with all its columns: of the smallest doc_id (null comes last), then of
+    the smallest hash of its text; of rows that are equal in both any one.  Rows without words stay as they are."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
+    roots = class_roots(spark, docs, width, percent)
+    rows = _document_classes(docs, width).checkpoint()
+    marked = rows.join(_least(rows, roots, F.min(key)), "class").select("doc_id", "text_key", (~key.eqNullSafe(F.col("least"))).alias("goes"))
+    marked = marked.groupBy("doc_id", "text_key", "goes").agg(F.count(F.lit(1)).alias("rows")).where("goes or rows > 1").checkpoint()
+
+    def of(frame: DataFrame, kind: str) -> DataFrame:
+        same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.text_key"))
+        return docs.alias("d").join(frame.alias("m"), same, kind).select("d.*")
+
+    repeated = marked.where("not goes")
+    kept = of(marked, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(of(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ A line (between line ends, without the white space around it) is known by a 64-b
 1. Each distinct line gets ``bands * rows`` minima of its shingles' hashes; lines that agree in a whole band are
    candidates.  At a similarity of 0.8 a pair is missed with probability (1 - 0.8**rows)**bands, below 0.002 here.
 2. The lines that agree in a band are a group, taken once where several bands give the same lines; the exact Jaccard
-   similarity of a group's sets is checked in prefix trees, large groups in pairs of blocks.
+   similarity of a group's pairs is checked, large groups in pairs of blocks.
 3. Distributed union-find over the verified links gives components of lines; equal lines are one line from the start.
 4. Of each component the first line in the document with the smallest doc_id stays.
 
 Defined results: blank lines always stay and are counted nowhere; null and empty texts stay as they are; rows that repeat
 a doc_id count as one document; a document may be left with an empty text; an empty table gives an empty result; other
-columns pass through.  doc_id must not be null.
+columns pass through.  A row with a null doc_id loses only lines that stand earlier in it, and no other row loses a line
+for it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ U64 = np.uint64
 WIDTH, BANDS, ROWS = 8, 9, 3
 #: Lines of a group in a block; places of wanted lines up to which they are broadcast (some tens of bytes each).
 BLOCK_LINES, BROADCAST_LINES = 4000, 1_000_000
+#: Lines up to which a group's overlaps are counted by a matrix product, and columns of it at once.
+DENSE_LINES, DENSE_COLUMNS = 256, 8192
 _draw = np.random.default_rng(7)
 _MULTIPLY = (_draw.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -86,7 +89,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])[: len(line)]
             yield pa.RecordBatch.from_pydict({"line": pa.array(line[fresh].view(np.int64)), "doc_id": pa.array(ids[doc[fresh]])})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "line long, doc_id long").distinct()
+    return packed.arrow_map(docs.select("doc_id", "text"), run, "line long, doc_id long").distinct()
 
 
 def _bands(docs: DataFrame, n: int) -> DataFrame:
@@ -131,8 +134,8 @@ def _bands(docs: DataFrame, n: int) -> DataFrame:
         for lo in range(0, len(key), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000].view(np.int64)) for x in (root, line, doc)], names=["root", "class", "doc_id"])
 
-    blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, keys binary, lines binary, docs binary")
-    return packed.deal(blobs, n).mapInArrow(meet, "root long, class long, doc_id long").groupBy("root", "class").agg(F.min("doc_id").alias("doc_id"))
+    blobs = packed.arrow_map(docs.select("doc_id", "text"), spread, "part int, keys binary, lines binary, docs binary")
+    return packed.arrow_map(packed.deal(blobs, n), meet, "root long, class long, doc_id long").groupBy("root", "class").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _places(found: DataFrame) -> int:
@@ -158,55 +161,89 @@ def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["class", "root", "mine", "other", "text"])
 
-    return rows.mapInArrow(run, "class long, root long, mine int, other int, text binary")
+    return packed.arrow_map(rows, run, "class long, root long, mine int, other int, text binary")
+
+
+def verified(groups: list[list[tuple[int, bytes]]], percent: int, width: int = WIDTH) -> list[tuple[int, int]]:
+    """The components of the lines (class, text) of each group under links of at least percent% Jaccard similarity, as
+    links of each line with the smallest class of its component.
+
+    The sets of all lines are made at once.  Overlaps of two lines are counted by what stands twice, those of up to
+    DENSE_LINES by a product of the group's incidence matrix with itself, those of larger groups in prefix trees.
+    """
+    groups = [sorted(g) for g in groups]
+    cls, raw = zip(*(r for g in groups for r in g), strict=True)
+    n_of = np.array([len(g) for g in groups])
+    begin = np.cumsum(n_of) - n_of
+    s = tb.Slice(list(raw), 0)
+    shingle, cut = line_shingles(s, s.start, s.end, width)
+    # a key's high bits tell shingles of different groups apart, its low bits are the line
+    line = np.repeat(np.arange(len(raw)), np.diff(cut))
+    low = U64(max(1, (len(raw) - 1).bit_length()))
+    seed = tb.mix(np.repeat(np.arange(len(groups), dtype=U64), n_of) + U64(1))
+    key = np.sort(tb.mix(shingle ^ seed[line]) >> low << low | line.astype(U64))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    line = (key & ((U64(1) << low) - U64(1))).astype(np.int64)
+    size = np.bincount(line, minlength=len(raw))
+    key >>= low
+    same = key[1:] == key[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    column = np.cumsum(np.concatenate([[True], ~same]))[shared]  # a number for each shingle that lines of a group share
+    line = line[shared]
+    group = np.repeat(np.arange(len(groups)), n_of)[line]
+    both = np.bincount(group, minlength=len(groups)) // 2  # of groups of two
+    a, b = begin, np.minimum(begin + 1, len(raw) - 1)
+    linked = (n_of == 2) & (100 * both >= percent * (size[a] + size[b] - both))
+    out = [(cls[begin[g] + 1], cls[begin[g]]) for g in np.flatnonzero(linked).tolist()]
+    order = np.argsort(group.astype(np.uint16), kind="stable")  # at most some thousand groups
+    ends = np.searchsorted(group[order], np.arange(len(groups) + 1))
+    for g in np.flatnonzero(n_of > 2).tolist():
+        at = order[ends[g] : ends[g + 1]]
+        n, own, sizes = int(n_of[g]), line[at] - begin[g], size[begin[g] : begin[g] + n_of[g]]
+        mine = cls[begin[g] : begin[g] + n]
+        if n > DENSE_LINES:
+            by = np.argsort(own, kind="stable")
+            sets = np.split(column[at][by], np.searchsorted(own[by], np.arange(1, n)))
+            out += jaccard.links_in_group(list(mine), sizes.tolist(), sets, None, percent)
+            continue
+        overlap = np.zeros((n, n), np.float32)
+        place = np.cumsum(np.concatenate([[0], np.diff(column[at]) != 0]))[: len(at)]
+        for lo in range(0, int(place.max(initial=-1)) + 1, DENSE_COLUMNS):
+            some = slice(*np.searchsorted(place, (lo, lo + DENSE_COLUMNS)))
+            has = np.zeros((n, min(DENSE_COLUMNS, int(place[-1]) + 1 - lo)), np.float32)
+            has[own[some], place[some] - lo] = 1
+            overlap += has @ has.T
+        near = 100 * overlap >= percent * (sizes[:, None] + sizes[None] - overlap)
+        near[np.diag_indices(n)] = True
+        label, before = np.where(near, np.arange(n), n).min(1), None
+        while before is None or (label != before).any():
+            before, label = label, np.where(near, label, n).min(1)
+        out += [(mine[k], mine[x]) for k, x in enumerate(label.tolist()) if k != x]
+    return out
 
 
 def line_components(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """vertex and root: lines that are linked with other lines, by their hashes."""
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
+    docs = docs.where("doc_id is not null")
     found = _bands(docs, n).checkpoint()
     wanted = jaccard.block_pairs(found, F.lit(1), BLOCK_LINES)
     texts = _texts(docs, wanted, _places(found) <= BROADCAST_LINES)
-
-    def compare(groups: list[list[tuple]]) -> list[tuple[int, int]]:
-        """Sets of all lines at once; groups of two by counting what stands twice, larger ones in prefix trees."""
-        cls, raw = zip(*(r for g in groups for r in g), strict=True)
-        n_of = np.array([len(g) for g in groups])
-        begin = np.cumsum(n_of) - n_of
-        s = tb.Slice(list(raw), 0)
-        shingle, cut = line_shingles(s, s.start, s.end, WIDTH)
-        line = np.repeat(np.arange(len(raw)), np.diff(cut))
-        order = np.lexsort((shingle, line))
-        shingle, line = shingle[order], line[order]
-        fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (shingle[1:] != shingle[:-1])])
-        shingle, line = shingle[fresh], line[fresh]
-        size = np.bincount(line, minlength=len(raw))
-        group = np.repeat(np.arange(len(groups)), n_of)
-        pair = n_of[group[line]] == 2
-        value, owner = shingle[pair], group[line[pair]]
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
-        both = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (value[1:] == value[:-1])], minlength=len(groups))
-        a, b = begin, np.minimum(begin + 1, len(raw) - 1)
-        linked = (n_of == 2) & (100 * both >= percent * (size[a] + size[b] - both))
-        out = [(cls[begin[g]], cls[begin[g] + 1]) for g in np.flatnonzero(linked).tolist()]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        for g in np.flatnonzero(n_of > 2).tolist():
-            mine = range(begin[g], begin[g] + n_of[g])
-            out += jaccard.links_in_group([cls[i] for i in mine], [int(size[i]) for i in mine], [shingle[ends[i] : ends[i + 1]] for i in mine], None, percent)
-        return out
-
-    return graph.components(spark, jaccard.links(texts, n, ("class", "text"), compare))
+    return graph.components(spark, jaccard.links(texts, n, ("class", "text"), lambda groups: verified(groups, percent)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with text without the lines that go, and n_lines and n_removed (a column of that name is replaced)."""
     roots = line_components(spark, docs, percent)
-    found = _occurrences(docs).join(roots.withColumnRenamed("vertex", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    found = found.checkpoint()
-    least = found.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = found.join(least, "root").groupBy("doc_id").agg(F.collect_list(F.struct("line", "root", (F.col("doc_id") == F.col("least")).alias("here"))).alias("_marks"))
+    found = _occurrences(docs.where("doc_id is not null")).checkpoint()
+    # one row a line, however many documents have it, takes part in the join by root
+    each = found.groupBy("line").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("n"))
+    each = each.join(roots.withColumnRenamed("vertex", "line"), "line", "left").where("root is not null or n > 1").checkpoint()
+    low = each.where("root is not null").groupBy("root").agg(F.min("own").alias("least")).checkpoint()
+    each = each.join(low, "root", "left").select("line", F.coalesce("root", "line").alias("root"), F.coalesce("least", "own").alias("least")).checkpoint()
+    mark = F.struct("line", "root", (F.col("doc_id") == F.col("least")).alias("here"))
+    marks = found.join(each, "line").groupBy("doc_id").agg(F.collect_list(mark).alias("_marks"))
     kept = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
     rows = docs.select(*[f.name for f in kept]).join(marks.hint("shuffle_hash"), "doc_id", "left").select(*[f.name for f in kept], "_marks")
     at = [f.name for f in kept].index("text")
@@ -239,7 +276,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) -> Data
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines.astype(np.int64)), pa.array(removed)], names=[*(f.name for f in kept), "n_lines", "n_removed"])
 
     schema = docs.select(*[f.name for f in kept]).schema.add("n_lines", "long").add("n_removed", "long")
-    return rows.mapInArrow(run, schema)
+    return packed.arrow_map(rows, run, schema)
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

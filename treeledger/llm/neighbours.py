@@ -209,13 +209,13 @@ def search(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 5,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v))], names=["query_id", "vec_id"])
 
     kind = "row int, query int, ids binary, data binary, norms binary"
-    encoded = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int").alias("block")).mapInArrow(index, kind)
-    wanted = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("block")).mapInArrow(ask, kind)
+    encoded = packed.arrow_map(rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int").alias("block")), index, kind)
+    wanted = packed.arrow_map(asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("block")), ask, kind)
     encoded = encoded.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     wanted = wanted.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     cells = row_blocks * query_blocks
     dealt = encoded.unionByName(wanted).repartitionById(min(cells, packed.n_parts(spark)), F.pmod(F.col("row") * query_blocks + F.col("query"), F.lit(min(cells, packed.n_parts(spark)))))
-    pairs = dealt.sortWithinPartitions("row", "query").mapInArrow(meet, "query_id long, vec_id long")
+    pairs = packed.arrow_map(dealt.sortWithinPartitions("row", "query"), meet, "query_id long, vec_id long")
     near = pairs.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"), F.col("norm").alias("asked_norm")), "query_id")
     scored = near.select("query_id", "vec_id", (_dot(F.col("v"), F.col("w")) / (F.col("norm") * F.col("asked_norm"))).alias("score"))
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

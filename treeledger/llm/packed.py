@@ -7,13 +7,41 @@ sort away from values of a few bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: Rows that go to a Python worker at once; a batch and its copies on both sides take so many texts of memory.
+BATCH_ROWS = 2000
+
+
+def release() -> None:
+    """Gives what a task has freed back to the machine: workers are used again by other stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def arrow_map(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """frame.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows (a setting of the session, lowered if it is
+    larger), after which the worker gives memory back."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return frame.mapInArrow(tidy, schema)
 
 
 def n_parts(spark: SparkSession) -> int:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import packed
+
 TABLE_ROWS = 600_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _tables: dict[str, WordTable] = {}
@@ -149,7 +151,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, linear:
         if held:
             yield from emit(held, first)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return packed.arrow_map(docs.select("doc_id", "text"), run, PIECES)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

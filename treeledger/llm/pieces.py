@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packed
+
 TABLE_ROWS = 300_000
 SLICE_CHARS = 1 << 20
 MARK = "▁"
@@ -105,7 +107,7 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",)) -> D
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *outputs])
                 lo = hi
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long, n_tokens long", *(f"{x} {kinds[x]}" for x in outputs)]))
+    return packed.arrow_map(docs.select("doc_id", "text"), run, ", ".join(["doc_id long, n_tokens long", *(f"{x} {kinds[x]}" for x in outputs)]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -118,7 +120,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return packed.arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

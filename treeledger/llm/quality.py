@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packed
 from . import textbytes as tb
 
 FEATURES = ("bias", "symbols", "marks", "capitals", "digits", "repeats", "copy", "short", "length", "vowel_free")
@@ -210,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 800, sample_lin
                     if len(q):
                         yield pa.RecordBatch.from_pydict({"label": pa.array([quality[s.lo + i]], pa.int32()), "x": pa.array([q.astype("<f4").tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(features, "label int, x binary").toPandas()
+    got = packed.arrow_map(rows, features, "label int, x binary").toPandas()
     got = got.sort_values(["label", "x"]).head(2 * sample_docs)  # the same order wherever the rows were
     seqs = [np.frombuffer(v, "<f4").astype(float).reshape(-1, len(FEATURES)) for v in got["x"]]
     return fit(seqs, 1 - got["label"].to_numpy(dtype=int))  # quality 0 is boilerplate
@@ -228,7 +229,7 @@ def quality_signals(docs: DataFrame, field: Field, min_share: float = 0.5) -> Da
                 cols = {"doc_id": b.column(0).slice(s.lo, s.n)} | {c: pa.array(stats[:, i].astype(np.int64)) for i, c in enumerate(names)}
                 yield pa.RecordBatch.from_pydict(cols | {"base_failed": pa.array(failed), "content_share": pa.array(share), "kept": pa.array(kept)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {STATS}, base_failed boolean, content_share double, kept boolean")
+    return packed.arrow_map(docs.select("doc_id", "text"), run, f"doc_id long, {STATS}, base_failed boolean, content_share double, kept boolean")
 
 
 def quality_filter(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:
@@ -242,7 +243,7 @@ def quality_filter(docs: DataFrame, field: Field, min_share: float = 0.5) -> Dat
             if kept:
                 yield b.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed.arrow_map(docs, run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def _counts(docs: DataFrame, n: int) -> DataFrame:
                     rows.append((k, packed.squeeze(token[a:e]), packed.planes(local, "<u4"), packed.planes(times[a:e], "<u4"), key[here].astype("<u8").tobytes(), learn[here].tobytes(), packed.squeeze(pair[c:d]), packed.planes(pair_times[c:d], "<u4")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in kind.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return packed.arrow_map(docs.select("doc_id", "text"), run, kind)
 
 
 class Filter:
@@ -179,7 +179,7 @@ def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int) -> DataFrame:
             a, e = edge[k], edge[k + 1]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.squeeze(text[a:e])]), pa.array([sums[a:e].astype("<f8").tobytes()]), pa.array([packed.planes(known[a:e], "<u4")]), pa.array([packed.planes(ends[a:e], "<u4")]), pa.array([None], pa.binary()), pa.array([0]), pa.array([0])], names=[x.split()[0] for x in kind.split(", ")])
 
-    return packed.deal(blobs, n).mapInArrow(run, kind)
+    return packed.arrow_map(packed.deal(blobs, n), run, kind)
 
 
 def _texts(met: DataFrame, n: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _texts(met: DataFrame, n: int) -> DataFrame:
         times = np.bincount(where, ends)
         yield pa.RecordBatch.from_pydict({"key": pa.array(ids.view(np.int64)), "sums": pa.array(np.bincount(where, sums) / times), "n_known": pa.array((np.bincount(where, known) / times).round().astype(np.int64))})
 
-    return packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "ends"), n).mapInArrow(run, "key long, sums double, n_known long")
+    return packed.arrow_map(packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "ends"), n), run, "key long, sums double, n_known long")
 
 
 SCORED = "doc_id long, key long, held_out boolean, n_tokens long, score double"
@@ -231,7 +231,7 @@ def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size
                 p = _log_p(one, end, f.counts(pairs)[at], weight, total)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(text_key(s, own).view(np.int64)), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(np.bincount(owner, minlength=s.n).astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=s.n))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+    return packed.arrow_map(docs.select("doc_id", "text"), run, SCORED)
 
 
 def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total: int) -> DataFrame:
@@ -299,8 +299,8 @@ def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(np.frombuffer(r["keys"], "<i8")), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(sizes.astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=len(own)))})
 
     segments = met.where("segment is not null").select("part", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in kind.split(", ")[1:-1]], "segment")
-    asked = docs.select("doc_id", "text").mapInArrow(ask, kind)
-    return packed.deal(packed.deal(asked.unionByName(segments), n).mapInArrow(answer, kind), n).mapInArrow(score, SCORED)
+    asked = packed.arrow_map(docs.select("doc_id", "text"), ask, kind)
+    return packed.arrow_map(packed.deal(packed.arrow_map(packed.deal(asked.unionByName(segments), n), answer, kind), n), score, SCORED)
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:

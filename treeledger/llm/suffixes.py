@@ -81,7 +81,7 @@ def _named(docs: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
             full = np.flatnonzero(np.diff(edge)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed.squeeze(key[edge[k] : edge[k + 1]]) for k in full], pa.binary()), pa.array([packed.planes(own[edge[k] : edge[k + 1]], "<i8") for k in full], pa.binary())], names=["part", "keys", "docs"])
 
-    return docs.mapInArrow(run, "part int, keys binary, docs binary")
+    return packed.arrow_map(docs, run, "part int, keys binary, docs binary")
 
 
 def _by_document(part_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def _shared(named: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[at[lo : lo + 1000]]), pa.array([key[a:e].astype("<u8").tobytes() for a, e in zip(at[lo : lo + 1000].tolist(), end[lo : lo + 1000].tolist(), strict=True)])], names=["doc_id", "keys"])
 
     kind = "part int, keys binary, docs binary"
-    return packed.deal(packed.deal(named, n).mapInArrow(meet, kind), n).mapInArrow(gather, "doc_id long, keys binary")
+    return packed.arrow_map(packed.deal(packed.arrow_map(packed.deal(named, n), meet, kind), n), gather, "doc_id long, keys binary")
 
 
 def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
-    return rows.mapInArrow(run, ", ".join(f"{x} {'binary' if i else 'int'}" for i, x in enumerate(names)))
+    return packed.arrow_map(rows, run, ", ".join(f"{x} {'binary' if i else 'int'}" for i, x in enumerate(names)))
 
 
 def least_documents(texts: list[bytes], least: np.ndarray, length: int, budget: int) -> np.ndarray:
@@ -283,8 +283,8 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
         for step in range(0, len(at), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(d[at[step : step + 1000]]), pa.array([both[a:e].tobytes() for a, e in zip(at[step : step + 1000].tolist(), end[step : step + 1000].tolist(), strict=True)])], names=["doc_id", "spans"])
 
-    ranges = packed.deal(blobs, n).mapInArrow(sort, "part int, docs binary, begins binary, sizes binary")
-    return packed.deal(ranges, n).mapInArrow(gather, "doc_id long, spans binary")
+    ranges = packed.arrow_map(packed.deal(blobs, n), sort, "part int, docs binary, begins binary, sizes binary")
+    return packed.arrow_map(packed.deal(ranges, n), gather, "doc_id long, spans binary")
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 50, budget: int = 64 << 20) -> DataFrame:
@@ -317,7 +317,7 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
             cols = [pa.array(texts, b.schema.field(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return packed.arrow_map(rows, run, schema)
 
 
 def without(raw: bytes, spans: list[list[int]]) -> str:
@@ -354,5 +354,5 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     size.append(len(text))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    cut = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = packed.arrow_map(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
