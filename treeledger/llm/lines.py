@@ -243,9 +243,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80) -> Data
     low = each.where("root is not null").groupBy("root").agg(F.min("own").alias("least")).checkpoint()
     each = each.join(low, "root", "left").select("line", F.coalesce("root", "line").alias("root"), F.coalesce("least", "own").alias("least")).checkpoint()
     mark = F.struct("line", "root", (F.col("doc_id") == F.col("least")).alias("here"))
-    marks = found.join(each, "line").groupBy("doc_id").agg(F.collect_list(mark).alias("_marks"))
+    own = packed.fresh("marks", docs.columns)
+    marks = found.join(each, "line").groupBy("doc_id").agg(F.collect_list(mark).alias(own))
     kept = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
-    rows = docs.select(*[f.name for f in kept]).join(marks.hint("shuffle_hash"), "doc_id", "left").select(*[f.name for f in kept], "_marks")
+    rows = docs.select(*[f.name for f in kept]).join(marks.hint("shuffle_hash"), "doc_id", "left").select(*[f.name for f in kept], own)
     at = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import packed
 
-ROW_BLOCK, QUERY_BLOCK = 65_536, 256
+ROW_BLOCK = 65_536
+#: Queries in a block: the encoded rows are copied once for each, so it is as large as leaves a cell for every part.
+MOST_QUERIES, LEAST_QUERIES = 16_384, 256
 
 
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,10 @@ def search(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 5,
     rows = rows.where(F.size("v") == d)
     asked = rows.where(queries)
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(queries, 1)).alias("q")).first()
-    row_blocks, query_blocks = max(1, math.ceil(count["n"] / ROW_BLOCK)), max(1, math.ceil(count["q"] / QUERY_BLOCK))
+    row_blocks, query_block = max(1, math.ceil(count["n"] / ROW_BLOCK)), MOST_QUERIES
+    while query_block > LEAST_QUERIES and row_blocks * math.ceil(count["q"] / query_block) < packed.n_parts(spark):
+        query_block //= 2
+    query_blocks = max(1, math.ceil(count["q"] / query_block))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

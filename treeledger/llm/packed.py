@@ -44,6 +44,13 @@ def arrow_map(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     return frame.mapInArrow(tidy, schema)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def n_parts(spark: SparkSession) -> int:
     """As many parts as the session has shuffle partitions: the setting that follows the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

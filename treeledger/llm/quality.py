@@ -3,8 +3,8 @@
 Each line of a document with at least one word is an element of a sequence with two states, content (0) and boilerplate
 (1).  Viterbi decoding picks the best state sequence; a document stays when the share of its words that stand in content
 lines reaches ``min_share`` and none of the plain rules rejects it.  The field is trained here, on a bounded sample of
-labelled documents (``sample_docs``, at most ``sample_lines`` lines each; these two bounds are the only ones: scoring
-always sees whole texts).
+labelled documents (``sample_docs``, and a run of at most ``sample_lines`` lines at a hashed place of each; these two
+bounds are the only ones: scoring always sees whole texts).
 
 Defined results: a null or empty text has no words, fails the plain rules and isn't kept; repeated rows are judged one by
 one; an empty table gives an empty result; other columns pass through untouched.  Without usable labels (none, or of one
@@ -206,13 +206,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 800, sample_lin
             texts, quality = tb.as_bytes(b.column(0)), b.column(1).to_pylist()
             for s in tb.slices(texts):
                 _, x, owner, _ = describe(s)
+                place = s.hashes(s.start, s.end)
                 for i in range(s.n):
-                    q = x[owner == i][:sample_lines]
+                    q = x[owner == i]
+                    first = int(place[i] % np.uint64(max(1, len(q) - sample_lines + 1)))  # a run of lines anywhere in the text
+                    q = q[first : first + sample_lines]
                     if len(q):
                         yield pa.RecordBatch.from_pydict({"label": pa.array([quality[s.lo + i]], pa.int32()), "x": pa.array([q.astype("<f4").tobytes()], pa.binary())})
 
-    got = packed.arrow_map(rows, features, "label int, x binary").toPandas()
-    got = got.sort_values(["label", "x"]).head(2 * sample_docs)  # the same order wherever the rows were
+    got = packed.arrow_map(rows, features, "label int, x binary")
+    got = got.orderBy("label", F.xxhash64("x"), "x").limit(2 * sample_docs).toPandas()  # the same wherever the rows were
     seqs = [np.frombuffer(v, "<f4").astype(float).reshape(-1, len(FEATURES)) for v in got["x"]]
     return fit(seqs, 1 - got["label"].to_numpy(dtype=int))  # quality 0 is boilerplate
 

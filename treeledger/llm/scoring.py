@@ -1,15 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is a bigram model, interpolated with add-one unigrams.  Its counts live in a Bloom filter:
-an n-gram with count c is stored as the elements (n-gram, 1) ... (n-gram, q) with q = 1 + floor(log2 c), and a count is
-read by probing for 1, 2, ... until a probe fails.  All unigrams are stored, and bigrams seen at least ``min_bigram``
-times, by default all.  The filter has ``bits`` bits per element, so it follows the corpus.  It is made of one segment per range of hash
-values, each built where the exact counts of that range are.  Up to ``max_filter_mb`` the segments are broadcast; a larger
-filter stays where it is: the n-grams of slices of texts are dealt to their segments, and the levels found there are dealt
-back.  Both ways give the same scores.
-
-Exact unigram counts come from one exchange of (word, text, multiplicity) by hash ranges; the base score of a text is the
-sum of what each range says about it, so neither vocabulary nor texts are gathered anywhere.
+The model is a bigram model, interpolated with add-one unigrams.  Its counts live in a Bloom filter: an n-gram with count
+c is stored as the elements (n-gram, 1) ... (n-gram, q), where q = 1 + floor(steps * log2 c), and a count is read by
+probing for 1, 2, ... until a probe fails or the largest level stored is reached.  Bigrams have one step a doubling, words
+four.  A count that is multiplied is read as the smallest of its level and one that is divided by as the largest, so the
+probabilities of all words behind a word add up to 1 at most: what quantising takes away is left to words that the model
+doesn't know.  All words and, by default, all bigrams are stored.  The filter has ``bits`` bits per element, so it follows
+the corpus.  It is made of one segment per range of hash values, each built where the exact counts of that range are.  Up
+to ``max_filter_mb`` the segments are broadcast; a larger filter stays where it is: the n-grams of slices of texts are
+dealt to their segments, and the levels found there are dealt back.  Both ways give the same scores.
+
+Exact word counts come from one exchange of (word, text, multiplicity) by hash ranges; the base score of a text is the sum
+of what each range says about it, so neither vocabulary nor texts are gathered anywhere.  The end token, which every text
+has, is counted apart: its count is the number of training texts.
 
 Words are known by 64-bit hashes.  Defined results: null and empty texts have the end token only; repeated rows are
 scored alike; a null doc_id counts as the empty text for the split; without training tokens every count is 0; an empty
@@ -22,6 +25,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,12 @@ U64 = np.uint64
 END = U64(0x6C62272E07BB0142)
 SLICE = 2 << 20
 HASHES = 4
+#: Levels a doubling of counts; bits of a bigram's hash that are kept, the others are 0 and needn't be sent.
+WORD_STEPS, PAIR_STEPS = 4, 1
+PAIR_BITS = U64(0xFFFFFFFFFFFF0000)
 FOLDS, HELD_OUT = 7, 2
+#: Of bigrams.
+WEIGHT = 0.5
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,7 +67,7 @@ def tokens(s: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
 def bigrams(token: np.ndarray) -> np.ndarray:
     """Each token with the one before it; a text begins behind an END."""
     before = np.concatenate([[END], token[:-1]]).astype(U64)
-    return tb.mix(before * U64(0xD1342543DE82EF95) + token)
+    return tb.mix(before * U64(0xD1342543DE82EF95) + token) & PAIR_BITS
 
 
 def text_key(s: tb.Slice, ids: list[int | None]) -> np.ndarray:
@@ -79,6 +88,8 @@ def _counts(docs: DataFrame, n: int) -> DataFrame:
                 key = text_key(s, own)
                 token, owner = tokens(s)
                 pair, pair_times = np.unique(bigrams(token)[learn[owner] == 1], return_counts=True)
+                words = token != END
+                token, owner = token[words], owner[words]
                 order = np.lexsort((owner, token))
                 token, owner = token[order], owner[order]
                 at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]))
@@ -92,25 +103,39 @@ def _counts(docs: DataFrame, n: int) -> DataFrame:
                         continue
                     here, local = np.unique(owner[a:e], return_inverse=True)
                     rows.append((k, packed.squeeze(token[a:e]), packed.planes(local, "<u4"), packed.planes(times[a:e], "<u4"), key[here].astype("<u8").tobytes(), learn[here].tobytes(), packed.squeeze(pair[c:d]), packed.planes(pair_times[c:d], "<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in kind.split(", ")])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in kind.split(", ")])
 
     return packed.arrow_map(docs.select("doc_id", "text"), run, kind)
 
 
+def quantised(counts: np.ndarray, steps: int) -> np.ndarray:
+    """The level of each count (at least 1)."""
+    level = np.frexp(counts.astype(float))[1].astype(np.int64)  # 1 + floor(log2)
+    if steps > 1:
+        level = np.floor(steps * np.log2(counts) + 1e-9).astype(np.int64) + 1
+    return level
+
+
+def range_of(level: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest count of each level; 0 for level 0."""
+    low, high = np.ceil(2.0 ** ((level - 1) / steps) - 1e-9), np.ceil(2.0 ** (level / steps) - 1e-9) - 1
+    return np.where(level > 0, low, 0.0), np.where(level > 0, np.maximum(low, high), 0.0)
+
+
 class Filter:
-    """A log-frequency Bloom filter in segments: edges are the segments' first bits, and the end."""
+    """A log-frequency Bloom filter in segments: edges are the segments' first bits, and the end; most the largest level."""
 
-    def __init__(self, data: bytes | bytearray, edges: np.ndarray):
-        self.data, self.edges = np.frombuffer(data, np.uint8), edges
+    def __init__(self, data: bytes | bytearray, edges: np.ndarray, most: int):
+        self.data, self.edges, self.most = np.frombuffer(data, np.uint8), edges, most
 
     @staticmethod
     def places(keys: np.ndarray, level: int, which: int, bits: np.ndarray | np.uint64) -> np.ndarray:
         return tb.mix(keys + U64((level * HASHES + which + 1) * 0x9E3779B97F4A7C15 % 2**64)) % bits
 
     @classmethod
-    def segment(cls, keys: np.ndarray, counts: np.ndarray, bits: int, most: int = 2**62) -> bytes:
-        levels = np.frexp(counts.astype(float))[1]  # 1 + floor(log2)
-        size = min(max(64, -(-int(levels.sum()) * bits // 8) * 8), most)
+    def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
+        size = max(64, -(-int(levels.sum()) * bits // 8) * 8)
         flags = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             stored = keys[levels >= level]
@@ -124,7 +149,7 @@ class Filter:
         part = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
         first, bits = self.edges[part], (self.edges[part + 1] - self.edges[part]).astype(U64)
         level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        while len(live):
+        while len(live) and level[live[0]] < self.most:  # all that live have one level; a full filter ends too
             for which in range(HASHES):
                 place = self.places(keys[live], int(level[live[0]]) + 1, which, bits[live]).astype(np.int64) + first[live]
                 live = live[self.data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 == 1]
@@ -133,18 +158,10 @@ class Filter:
             level[live] += 1
         return level
 
-    @staticmethod
-    def middle(level: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts that levels stand for."""
-        return np.where(level > 0, np.where(level > 1, 0.75 * 2.0**level, 1.0), 0.0)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return self.middle(self.levels(keys))
-
 
 def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int) -> DataFrame:
     """Per range of hashes: a row with its filter segment, tokens and distinct words, and rows (part, rows, ...) on texts."""
-    kind = "part int, texts binary, sums binary, known binary, ends binary, segment binary, tokens long, distinct long"
+    kind = "part int, texts binary, sums binary, known binary, total binary, segment binary, most int, tokens long, distinct long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, here = [], None
@@ -166,48 +183,64 @@ def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int) -> DataFrame:
         at = packed.starts(word)
         count = np.add.reduceat(times * learn, at) if len(at) else times[:0]
         stored = count > 0
-        segment = Filter.segment(np.concatenate([word[at][stored], pair]), np.concatenate([count[stored], pair_times]), bits)
-        yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([segment]), pa.array([int(count.sum())]), pa.array([int(stored.sum())])], names=[x.split()[0] for x in kind.split(", ")])
+        levels = np.concatenate([quantised(count[stored], WORD_STEPS), quantised(pair_times, PAIR_STEPS)])
+        segment = Filter.segment(np.concatenate([word[at][stored], pair]), levels, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([segment]), pa.array([int(levels.max(initial=0))], pa.int32()), pa.array([int(count.sum())]), pa.array([int(stored.sum())])], names=[x.split()[0] for x in kind.split(", ")])
         each = np.repeat(count, np.diff(np.append(at, len(word))))
         order = np.argsort(text)
         text, where = text[order], packed.starts(text[order])
         total = lambda x: np.add.reduceat(x[order], where)
-        sums, known, ends = total(times * np.log10(each + 1.0)), total(times * (each > 0)), total(times * (word == END))
+        if not len(where):
+            return
+        sums, known, whole = total(times * np.log10(each + 1.0)), total(times * (each > 0)), total(times)
         text = text[where]
         edge = packed.bounds(text, n)
         for k in np.flatnonzero(np.diff(edge)).tolist():
             a, e = edge[k], edge[k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.squeeze(text[a:e])]), pa.array([sums[a:e].astype("<f8").tobytes()]), pa.array([packed.planes(known[a:e], "<u4")]), pa.array([packed.planes(ends[a:e], "<u4")]), pa.array([None], pa.binary()), pa.array([0]), pa.array([0])], names=[x.split()[0] for x in kind.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.squeeze(text[a:e])]), pa.array([sums[a:e].astype("<f8").tobytes()]), pa.array([packed.planes(known[a:e], "<u4")]), pa.array([packed.planes(whole[a:e], "<u4")]), pa.array([None], pa.binary()), pa.array([0], pa.int32()), pa.array([0]), pa.array([0])], names=[x.split()[0] for x in kind.split(", ")])
 
     return packed.arrow_map(packed.deal(blobs, n), run, kind)
 
 
 def _texts(met: DataFrame, n: int) -> DataFrame:
-    """key, sum of log10(c + 1) and n_known of each text; of texts that stand there ends times, once."""
+    """key, sum of log10(c + 1), n_known and words of each text that has words, summed over the rows that repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(packed.expand(r["texts"]), np.frombuffer(r["sums"], "<f8"), packed.unplanes(r["known"], "<u4"), packed.unplanes(r["ends"], "<u4")) for r in packed.rows_of(batches)]
+        rows = [(packed.expand(r["texts"]), np.frombuffer(r["sums"], "<f8"), packed.unplanes(r["known"], "<u4"), packed.unplanes(r["total"], "<u4")) for r in packed.rows_of(batches)]
         if not rows:
             return
-        text, sums, known, ends = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        text, sums, known, total = (np.concatenate([r[k] for r in rows]) for k in range(4))
         ids, where = np.unique(text, return_inverse=True)
-        times = np.bincount(where, ends)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(ids.view(np.int64)), "sums": pa.array(np.bincount(where, sums) / times), "n_known": pa.array((np.bincount(where, known) / times).round().astype(np.int64))})
+        whole = lambda x: pa.array(np.bincount(where, x).round().astype(np.int64))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(ids.view(np.int64)), "sums": pa.array(np.bincount(where, sums)), "n_known": whole(known), "words": whole(total)})
 
-    return packed.arrow_map(packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "ends"), n), run, "key long, sums double, n_known long")
+    return packed.arrow_map(packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "total"), n), run, "key long, sums double, n_known long, words long")
 
 
 SCORED = "doc_id long, key long, held_out boolean, n_tokens long, score double"
 
 
-def _log_p(one: np.ndarray, end: float, both: np.ndarray, weight: float, total: int) -> np.ndarray:
-    """log10 probability of each token, from the counts of tokens, of END and of bigrams."""
-    before = np.concatenate([[end], one[:-1]])
-    low = (one + 1) / total
-    return np.log10(np.where(before > 0, weight * np.minimum(both, before) / np.maximum(before, 1) + (1 - weight) * low, low))
+@dataclass(frozen=True)
+class Model:
+    """What the counts of n-grams are turned into probabilities with: the bigrams' weight, the training texts, and all
+    training tokens and distinct tokens plus one."""
+
+    weight: float
+    ends: int
+    total: int
+
+    def log_p(self, kinds: np.ndarray, word_levels: np.ndarray, at: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each token.  kinds, word_levels: distinct tokens and their levels; at: the tokens' places
+        there; pair_levels: of each token with the one before it."""
+        low, high = range_of(word_levels, WORD_STEPS)
+        low, high = (np.where(kinds == END, float(self.ends), x)[at] for x in (low, high))
+        before = np.concatenate([[float(self.ends)], high[:-1]])
+        one = (low + 1) / self.total
+        both = np.minimum(range_of(pair_levels, PAIR_STEPS)[0], before) / np.maximum(before, 1)
+        return np.log10(np.where(before > 0, self.weight * both + (1 - self.weight) * one, one))
 
 
-def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size: np.ndarray, weight: float, total: int) -> DataFrame:
+def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size: np.ndarray, most: int, model: Model) -> DataFrame:
     """Scores by a broadcast filter; size has the bytes of each segment, 8 where there is none."""
     edges = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int64)
     data = bytearray(int(size.sum()))
@@ -218,23 +251,21 @@ def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size
     del data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(*shared.value)
-        end = f.counts(np.array([END], U64))[0]
+        f = Filter(*shared.value, most)
         for b in batches:
             ids = b.column(0).to_pylist()
             for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
                 own = ids[s.lo : s.lo + s.n]
                 token, owner = tokens(s)
                 kinds, at = np.unique(token, return_inverse=True)
-                one = f.counts(kinds)[at]
-                pairs, at = np.unique(bigrams(token), return_inverse=True)
-                p = _log_p(one, end, f.counts(pairs)[at], weight, total)
+                pairs, pair_at = np.unique(bigrams(token), return_inverse=True)
+                p = model.log_p(kinds, f.levels(kinds), at, f.levels(pairs)[pair_at])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(text_key(s, own).view(np.int64)), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(np.bincount(owner, minlength=s.n).astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=s.n))})
 
     return packed.arrow_map(docs.select("doc_id", "text"), run, SCORED)
 
 
-def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total: int) -> DataFrame:
+def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, most: int, model: Model) -> DataFrame:
     """Scores by a filter whose segments stay apart: slices ask each segment for the levels of their n-grams.
 
     A slice is known by a hash of its texts, so equal slices ask and get the same.  Its tokens go to its home part.
@@ -267,7 +298,7 @@ def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total:
 
         for r in packed.rows_of(batches):
             if r["segment"] is not None:
-                f = Filter(r["segment"], np.array([0, 8 * len(r["segment"])], np.int64))
+                f = Filter(r["segment"], np.array([0, 8 * len(r["segment"])], np.int64), most)
             elif r["of"] is None:
                 yield batch([r[x] for x in names])
             elif f is None:
@@ -291,10 +322,10 @@ def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total:
             at = packed.unplanes(r["tokens"], "<u4")
             pairs, pair_at = np.unique(bigrams(words[at]), return_inverse=True)
             mine = [x for _, x in sorted(answers[r["slice"]].items())]
-            one, both = (Filter.middle(np.frombuffer(b"".join(x[k] for x in mine), np.uint8).astype(np.int64)) for k in range(2))
+            one, both = (np.frombuffer(b"".join(x[k] for x in mine), np.uint8).astype(np.int64) for k in range(2))
             if len(one) != len(words) or len(both) != len(pairs):
                 raise ValueError("answers of filter segments are missing")
-            p = _log_p(one[at], one[np.searchsorted(words, END)], both[pair_at], weight, total)
+            p = model.log_p(words, one, at, both[pair_at])
             owner = np.repeat(np.arange(len(own)), sizes)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(np.frombuffer(r["keys"], "<i8")), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(sizes.astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=len(own)))})
 
@@ -303,28 +334,34 @@ def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, weight: float, total:
     return packed.arrow_map(packed.deal(packed.arrow_map(packed.deal(asked.unionByName(segments), n), answer, kind), n), score, SCORED)
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, weight: float = 0.2, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
-    filter; a previous token without count leaves the unigram alone.
+    filter; a previous token without count leaves the words' part alone.
     """
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
     met = _meet(_counts(docs, n), n, bits, min_bigram).checkpoint()
-    segments = met.where("segment is not null").select("part", F.length("segment").alias("size"), "tokens", "distinct").collect()  # n rows at most
+    segments = met.where("segment is not null").select("part", F.length("segment").alias("size"), "most", "tokens", "distinct").collect()  # n rows at most
     size = np.full(n, 8, np.int64)
     for r in segments:
         size[r["part"]] = r["size"]
-    train_tokens, distinct = sum(r["tokens"] for r in segments), sum(r["distinct"] for r in segments)
-    total = train_tokens + distinct + 1
+    learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
+    ends = docs.agg(F.count(F.when(learned, 1)).alias("n")).first()["n"]
+    most = max((r["most"] for r in segments), default=0)
+    train_tokens, distinct = sum(r["tokens"] for r in segments) + ends, sum(r["distinct"] for r in segments) + (ends > 0)
+    model = Model(weight, ends, train_tokens + distinct + 1)
     if size.sum() <= max_filter_mb << 20:
-        scored = _scored_broadcast(spark, docs, met, size, weight, total)
+        scored = _scored_broadcast(spark, docs, met, size, most, model)
     else:
-        scored = _scored_dealt(docs, met, n, weight, total)
-    rows = scored.join(_texts(met, n), "key")
-    base = F.col("sums") - F.col("n_tokens") * F.lit(math.log10(total))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        scored = _scored_dealt(docs, met, n, most, model)
+    rows = scored.join(_texts(met, n), "key", "left")
+    times = F.when(F.col("n_tokens") > 1, F.col("words") / (F.col("n_tokens") - 1))  # rows that repeat the text
+    sums = F.coalesce(F.col("sums") / times, F.lit(0.0)) + F.lit(math.log10(ends + 1))
+    known = F.coalesce(F.round(F.col("n_known") / times).cast("long"), F.lit(0).cast("long")) + F.lit(int(ends > 0))
+    base = sums - F.col("n_tokens") * F.lit(math.log10(model.total))
+    return rows.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,13 +126,15 @@ def _shared(named: DataFrame, n: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
-    """Blobs of segments whose hashes are shared: distinct texts, and where they stand.  rows: doc_id, text, keys."""
-    names = ("part", "keys", "sizes", "texts", "which", "docs", "begins")
+    """Blobs of segments whose hashes are shared: distinct texts, and where they stand (the owner's number in docs and
+    row_keys, and the byte).  rows: doc_id, text, keys, row_key."""
+    names = ("part", "keys", "sizes", "texts", "which", "owners", "begins", "docs", "row_keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squash = zstandard.ZstdCompressor(level=1)
         for b, ids, s in _slices(batches):
             key, first, count, doc = segments(s, length, anchor)
+            row_key = b.column(3).to_numpy()
             shared = [np.frombuffer(x, "<u8") for x in b.column(2).to_pylist()]
             seed = tb.mix(np.arange(s.n, dtype=U64) + U64(1))
             known = np.concatenate([x ^ seed[d] for d, x in enumerate(shared)]) if shared else np.zeros(0, U64)
@@ -150,7 +152,8 @@ def _cut(rows: DataFrame, length: int, anchor: int, n: int) -> DataFrame:
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 a, e = edge[k], edge[k + 1]
                 mine = one[(one >= a) & (one < e)]
-                rows.append((k, packed.squeeze(key[mine]), packed.planes(size[mine], "<u4"), squash.compress(b"".join(raw[f : f + z] for f, z in zip(first[mine].tolist(), size[mine].tolist(), strict=True))), packed.planes(which[a:e] - which[a], "<u4"), packed.planes(ids[doc[a:e]], "<i8"), packed.planes(first[a:e] - s.start[doc[a:e]], "<u4")))
+                here, local = np.unique(doc[a:e], return_inverse=True)
+                rows.append((k, packed.squeeze(key[mine]), packed.planes(size[mine], "<u4"), squash.compress(b"".join(raw[f : f + z] for f, z in zip(first[mine].tolist(), size[mine].tolist(), strict=True))), packed.planes(which[a:e] - which[a], "<u4"), packed.planes(local, "<u4"), packed.planes(first[a:e] - s.start[doc[a:e]], "<u4"), packed.planes(ids[here], "<i8"), row_key[here].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
@@ -192,10 +195,10 @@ def least_documents(texts: list[bytes], least: np.ndarray, length: int, budget:
 
 
 def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
-    """doc_id and spans (merged pairs of begin and end): what goes from each document."""
+    """doc_id, row_keys and row_spans (merged pairs of begin and end): what goes from each row of a document."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, size, texts, which, doc, begin, base = [], [], [], [], [], [], 0
+        key, size, texts, which, doc, row, begin, base = [], [], [], [], [], [], [], 0
         for r in packed.rows_of(batches):
             sizes = packed.unplanes(r["sizes"], "<u4").astype(np.int64)
             key.append(packed.expand(r["keys"]))
@@ -204,12 +207,14 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
             raw = zstandard.decompress(r["texts"])
             texts += [raw[a:e] for a, e in zip(cut, cut[1:])]
             which.append(packed.unplanes(r["which"], "<u4").astype(np.int64) + base)
-            doc.append(packed.unplanes(r["docs"], "<i8"))
+            local = packed.unplanes(r["owners"], "<u4")
+            doc.append(packed.unplanes(r["docs"], "<i8")[local])
+            row.append(np.frombuffer(r["row_keys"], "<i8")[local])
             begin.append(packed.unplanes(r["begins"], "<u4").astype(np.int64))
             base += len(sizes)
         if not texts:
             return
-        key, size, which, doc, begin = (np.concatenate(x) for x in (key, size, which, doc, begin))
+        key, size, which, doc, row, begin = (np.concatenate(x) for x in (key, size, which, doc, row, begin))
         distinct: dict[bytes, int] = {}
         same = np.fromiter((distinct.setdefault(t, len(distinct)) for t in texts), np.int64, len(texts))
         texts = list(distinct)
@@ -228,12 +233,12 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
         for lo, hi in zip(shards[:-1].tolist(), shards[1:].tolist(), strict=True):
             mine = order[lo:hi].tolist()
             found = least_documents([texts[k] for k in mine], least[mine], length, budget)
-            yield from gone(mine, found, np.array([len(texts[k]) - length + 1 for k in mine]), place, stands, doc, begin)
+            yield from gone(mine, found, np.array([len(texts[k]) - length + 1 for k in mine]), place, stands, doc, row, begin)
 
-    def gone(mine, found, count, place, stands, doc, begin) -> Iterator[pa.RecordBatch]:
+    def gone(mine, found, count, place, stands, doc, row, begin) -> Iterator[pa.RecordBatch]:
         cut = np.concatenate([[0], np.cumsum(count)])
         low = np.minimum.reduceat(found, cut[:-1])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         at = np.concatenate([place[stands[k] : stands[k + 1]] for k in mine])
         owner = np.repeat(np.arange(len(mine)), [stands[k + 1] - stands[k] for k in mine])
         some = doc[at] > low[owner]
@@ -250,63 +255,74 @@ def _ranges(blobs: DataFrame, length: int, n: int, budget: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (place_of[hit[1:]] != place_of[hit[:-1]])]))
             last = np.append(first[1:], len(hit)) - 1
             p = place_of[hit[first]]
-            out.append((doc[p], begin[p] + offset[hit[first]], begin[p] + offset[hit[last]] + length))
+            out.append((doc[p], row[p], begin[p] + offset[hit[first]], begin[p] + offset[hit[last]] + length))
         if not out:
             return
-        d, lo, hi = (np.concatenate([x[k] for x in out]) for k in range(3))
-        d, lo, hi = merged(d, lo, hi)
+        d, row, lo, hi = merged(*(np.concatenate([x[k] for x in out]) for k in range(4)))
         order, edge = _by_document(tb.mix(d.view(U64)), n)
         full = np.flatnonzero(np.diff(edge)).tolist()
         pick = [order[edge[k] : edge[k + 1]] for k in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([packed.planes(x[p], kind) for p in pick], pa.binary()) for x, kind in ((d, "<i8"), (lo, "<u4"), (hi - lo, "<u4")))], names=["part", "docs", "begins", "sizes"])
-
-    def merged(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((lo, d))
-        d, lo, hi = d[order], lo[order], hi[order]
-        at = packed.starts(d)
-        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(d))))
-        far = np.maximum.accumulate(hi + group * (1 << 40))  # the furthest end so far, within a document
-        fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (lo[1:] + group[1:] * (1 << 40) > far[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([packed.planes(x[p], kind) for p in pick], pa.binary()) for x, kind in ((d, "<i8"), (row, "<i8"), (lo, "<u4"), (hi - lo, "<u4")))], names=["part", "docs", "row_keys", "begins", "sizes"])
+
+    def merged(d: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The ranges of each row of a document, in order, those that touch or overlap as one."""
+        order = np.lexsort((lo, row, d))
+        d, row, lo, hi = d[order], row[order], lo[order], hi[order]
+        other = (d[1:] != d[:-1]) | (row[1:] != row[:-1])
+        group = np.cumsum(np.concatenate([[False], other]))
+        far = np.maximum.accumulate(hi + group * (1 << 40))  # the furthest end so far, within a row
+        fresh = np.concatenate([[True], other | (lo[1:] + group[1:] * (1 << 40) > far[:-1])])
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(d)) - 1
-        return d[first], lo[first], far[last] - group[last] * (1 << 40)
+        return d[first], row[first], lo[first], far[last] - group[last] * (1 << 40)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(packed.unplanes(r["docs"], "<i8"), packed.unplanes(r["begins"], "<u4").astype(np.int64), packed.unplanes(r["sizes"], "<u4").astype(np.int64)) for r in packed.rows_of(batches)]
+        rows = [(packed.unplanes(r["docs"], "<i8"), packed.unplanes(r["row_keys"], "<i8"), packed.unplanes(r["begins"], "<u4").astype(np.int64), packed.unplanes(r["sizes"], "<u4").astype(np.int64)) for r in packed.rows_of(batches)]
         if not rows:
             return
-        d, lo, size = (np.concatenate([r[k] for r in rows]) for k in range(3))
-        d, lo, hi = merged(d, lo, lo + size)
-        at = packed.starts(d)
-        end = np.append(at[1:], len(d))
+        d, row, lo, size = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        d, row, lo, hi = merged(d, row, lo, lo + size)
+        own = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (row[1:] != row[:-1])]))  # where rows begin
+        cut = np.append(own, len(d))
         both = np.stack([lo, hi], 1).astype("<i8")
-        for step in range(0, len(at), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[at[step : step + 1000]]), pa.array([both[a:e].tobytes() for a, e in zip(at[step : step + 1000].tolist(), end[step : step + 1000].tolist(), strict=True)])], names=["doc_id", "spans"])
+        heads = np.append(packed.starts(d[own]), len(own))  # where documents begin, among rows
+        for step in range(0, len(heads) - 1, 1000):
+            part = heads[step : step + 1001].tolist()
+            keys = [row[own[a:e]].tolist() for a, e in zip(part, part[1:])]
+            spans = [[both[cut[k] : cut[k + 1]].tobytes() for k in range(a, e)] for a, e in zip(part, part[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(d[own[part[:-1]]]), pa.array(keys, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.binary()))], names=["doc_id", "row_keys", "row_spans"])
 
-    ranges = packed.arrow_map(packed.deal(blobs, n), sort, "part int, docs binary, begins binary, sizes binary")
-    return packed.arrow_map(packed.deal(ranges, n), gather, "doc_id long, spans binary")
+    ranges = packed.arrow_map(packed.deal(blobs, n), sort, "part int, docs binary, row_keys binary, begins binary, sizes binary")
+    return packed.arrow_map(packed.deal(ranges, n), gather, "doc_id long, row_keys array<long>, row_spans array<binary>")
 
 
 def removed_spans(spark: SparkSession, docs: DataFrame, length: int = 50, budget: int = 64 << 20) -> DataFrame:
-    """doc_id, text and spans: the byte ranges that go, as little-endian 64-bit pairs, null where nothing does.
+    """doc_id, text, rest (a struct of docs' other columns) and spans: the byte ranges that go from the row's text, as
+    little-endian 64-bit pairs, null where nothing does.
 
-    The texts cross the network once: both joins read one exchange.
+    Places are known by doc_id and a hash of the text, so rows that repeat a doc_id lose what their own text has; the
+    texts cross the network once: both joins read one exchange.
     """
+    if not 0 < length <= 255:
+        raise ValueError("length must be 1 to 255: common prefixes are counted in one byte")
     n, anchor = packed.n_parts(spark), min(ANCHOR, length)
-    known = docs.where("doc_id is not null").select("doc_id", "text")
+    more = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", F.struct(*(more or [F.lit(0).alias("none")])).alias("rest"))
+    known = docs.where("doc_id is not null")
     dealt = known.repartition(n, "doc_id")
-    shared = _shared(_named(known, length, anchor, n), n)
-    rows = dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys")
+    shared = _shared(_named(known.select("doc_id", "text"), length, anchor, n), n)
+    rows = dealt.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys", F.xxhash64("text").alias("row_key"))
     spans = _ranges(_cut(rows, length, anchor, n), length, n, budget)
-    return dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").unionByName(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("spans")))
+    mine = F.when(F.col("row_keys").isNotNull(), F.get("row_spans", F.array_position("row_keys", F.xxhash64("text")).cast("int") - 1))
+    found = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "rest", mine.alias("spans"))
+    return found.unionByName(docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("binary")))
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
     """docs, all their columns, with text without the characters whose bytes all lie in ranges that go."""
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
+    rows = removed_spans(spark, docs, length).select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in names], F.col("spans").alias(packed.fresh("spans", names)))
     at = names.index("text")
-    spans = removed_spans(spark, docs.select("doc_id", "text"), length).where("spans is not null").select("doc_id", F.xxhash64("text").alias("_text"), "spans").distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text")).join(spans.hint("shuffle_hash"), ["doc_id", "_text"], "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +333,7 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
             cols = [pa.array(texts, b.schema.field(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return packed.arrow_map(rows, run, schema)
+    return packed.arrow_map(rows, run, docs.schema)
 
 
 def without(raw: bytes, spans: list[list[int]]) -> str:
@@ -337,7 +353,7 @@ def without(raw: bytes, spans: list[list[int]]) -> str:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = removed_spans(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = removed_spans(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
