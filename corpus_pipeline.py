@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.llm import jaccard, lines, packing, quality, suffixes
-from treeledger.runtime import checkpoint_dir, ship
+from treeledger.runtime import checkpoint_dir, drop, ship
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays."""
     return jaccard.keep_one(spark, docs, width=5, percent=80)
 
 
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
+    """All stages over documents; each is written to the shared folder and read again, and a table goes when the next one
+    is there."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
@@ -68,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                drop(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
