@@ -334,7 +334,7 @@ def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, most: int, model: Mod
     return packed.arrow_map(packed.deal(packed.arrow_map(packed.deal(asked.unionByName(segments), n), answer, kind), n), score, SCORED)
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bits: int = 12, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
