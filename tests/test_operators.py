@@ -1,6 +1,7 @@
 """Operators on frames: comparison, roll-ups, rankings, ordered reading and column expressions."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,12 @@ DIRS = "dir string, ord long, blocks decimal(20,0), links long"
 
 def files(spark, *rows):
     """(dir, name, size) or (dir, name, size, (stamp, attrs))."""
-    return spark.createDataFrame([(*r[:3], *(r[3] if len(r) > 3 else ("t", "a"))) for r in rows], FILES)
+    return spark.createDataFrame([(*r[:2], Decimal(r[2]), *(r[3] if len(r) > 3 else ("t", "a"))) for r in rows], FILES)
+
+
+def dirs(spark, *rows):
+    """(dir, ord, blocks, links)."""
+    return spark.createDataFrame([(d, k, Decimal(b), n) for d, k, b, n in rows], DIRS)
 
 
 def test_changes_take_the_first_difference(spark):
@@ -26,7 +32,7 @@ def test_changes_take_the_first_difference(spark):
     after = files(spark, ("d", "same", 1), ("d", "grown", 5, ("u", "b")), ("d", "touched", 1, ("u", "b")), ("d", "mode", 1, ("t", "b")), ("d", "new", 9))
     got = {r["name"]: r["kind"] for r in C.changes(before, after).collect()}
     assert got == {"same": "same", "grown": "resized", "touched": "mtime_only", "mode": "attrs_only", "gone": "removed", "new": "added"}
-    s = C.total(C.directory_summary(C.changes(before, after), None, spark.createDataFrame([("d", 1, 10, 2)], DIRS))).first()
+    s = C.total(C.directory_summary(C.changes(before, after), None, dirs(spark, ("d", 1, 10, 2)))).first()
     assert int(s["new_bytes"]) - int(s["old_bytes"]) == int(s["added_bytes"] + s["grown_bytes"] - s["removed_bytes"] - s["shrunk_bytes"]) == 6
     assert (s["new_links"], s["new_blocks"], s["old_dirs"], s["new_dirs"]) == (2, 10, 0, 1)
 
@@ -34,20 +40,20 @@ def test_changes_take_the_first_difference(spark):
 def test_counters_hold_64_bits_and_no_more(spark):
     most = 2**64 - 1
     one = C.changes(None, files(spark, ("d", "a", most)))
-    assert C.total(C.directory_summary(one, None, spark.createDataFrame([], DIRS))).first()["new_bytes"] == most
+    assert C.total(C.directory_summary(one, None, dirs(spark))).first()["new_bytes"] == most
     with pytest.raises(Exception, match="new_bytes overflow"):
-        C.directory_summary(C.changes(None, files(spark, ("d", "a", most), ("d", "b", 1))), None, spark.createDataFrame([], DIRS)).collect()
+        C.directory_summary(C.changes(None, files(spark, ("d", "a", most), ("d", "b", 1))), None, dirs(spark)).collect()
 
 
 def test_empty_sides(spark):
-    none, dirs = files(spark), spark.createDataFrame([], DIRS)
+    none, empty = files(spark), dirs(spark)
     assert C.changes(none, none).count() == 0
-    assert C.total(C.directory_summary(C.changes(None, none), None, dirs)).first()["new_files"] == 0
+    assert C.total(C.directory_summary(C.changes(None, none), None, empty)).first()["new_files"] == 0
 
 
 def test_blocks_without_growth(spark):
     one = files(spark, ("d", "a", 5))
-    s = C.directory_summary(C.changes(one, one), spark.createDataFrame([("d", 1, 4096, 0)], DIRS), spark.createDataFrame([("d", 1, 8192, 0)], DIRS))
+    s = C.directory_summary(C.changes(one, one), dirs(spark, ("d", 1, 4096, 0)), dirs(spark, ("d", 1, 8192, 0)))
     assert C.block_dirs(s, 5).first()["score"] == 4096 and C.no_growth(s).count() == 1 and C.growing_dirs(s, 5).count() == 0
 
 
@@ -95,10 +101,13 @@ def test_values_carry_over_stretches(spark, monkeypatch):
     assert [r["v"] for r in got] == [None] * 3 + [3] + [4] * 56 + [60] * 35
 
 
-def test_summary_needs_one_exchange_of_files(spark):
+def test_files_are_exchanged_once_and_summed_before(spark):
     before = spark.range(1000).select(F.concat(F.lit("d"), F.col("id") % 10).alias("dir"), F.col("id").cast("string").alias("name"), F.col("id").cast(U64).alias("size"), F.lit("t").alias("stamp"), F.lit("a").alias("attrs"))
-    plan = C.changes(before, before)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(dir") == 1 and "Exchange hashpartitioning(dir, name" not in plan
+    plan = C.directory_summary(C.changes(before, before), None, dirs(spark))._jdf.queryExecution().executedPlan().toString()
+    # the files, their directories' partial sums, and those with the directories' own rows
+    assert plan.count("Exchange hashpartitioning(dir#") == 3 and "RoundRobin" not in plan
+    got = C.directory_summary(C.changes(before, before), None, dirs(spark)).agg(F.sum("new_bytes"), F.count("*")).first()
+    assert (int(got[0]), got[1]) == (499_500, 10)
 
 
 def test_consecutive_snapshots(spark, tmp_path):

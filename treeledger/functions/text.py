@@ -142,6 +142,11 @@ def signed(size: int) -> str:
     return f"+{human(size)}" if size > 0 else human(size)
 
 
+def daily_bytes(size: Column, days: int) -> Column:
+    """The average a day as a column, halves away from zero."""
+    return F.round(size / F.lit(days).cast("decimal(9,0)"))
+
+
 def daily_growth(size: int, days: float) -> str:
     """The average a day, halves away from zero."""
     return signed(int(Decimal(size / days).quantize(Decimal(1), ROUND_HALF_UP)))
@@ -153,6 +158,6 @@ def memory_size(text: str) -> int:
     digits = text[: len(text) - len(text.lstrip("0123456789"))]
     if digits and text[len(digits) :] in units:
         n = int(digits) * units[text[len(digits) :]]
-        if 0 < n <= (2**63 - 1 - (1 << 30)) // 4:
+        if 0 < n < 1 << 61:
             return n
     raise SnapshotError("a memory limit is a positive integer with unit B, KiB, MiB, GiB, KB, MB or GB, such as 512MiB")

@@ -1,7 +1,8 @@
 """Comparison of two snapshots: changes of files, and counters of directories, path groups and everything.
 
-Both sides are tagged and brought together by directory in one exchange; changes and the directory counters are then
-aggregates over that same partitioning, and equal keys on one side show up as counts without another pass.
+Both sides are tagged and met by file in one exchange; equal keys on one side show up as counts without another pass.
+Directory counters are added up where the files are before they are exchanged, so a directory of any size is no burden
+for one task.  Numbers of things are longs; only sums of bytes are wide.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
     kind: added, removed, resized, mtime_only, attrs_only or same; a changed size hides a changed stamp, and that hides
     changed attributes.  Without before every file is added.
     """
-    both = _sides(before, after, ["dir", "name", "size", "stamp", "attrs"]).repartition("dir")
+    both = _sides(before, after, ["dir", "name", "size", "stamp", "attrs"])
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     met = both.groupBy("dir", "name").agg(
         *[pick(c, side).alias(f"{c}{side}") for side in (0, 1) for c in ("size", "stamp", "attrs")],
@@ -48,24 +49,39 @@ def duplicates(changed: DataFrame) -> DataFrame:
     return changed.where("n_before > 1 or n_after > 1").select("dir", "name")
 
 
+def added(changed: DataFrame) -> DataFrame:
+    return changed.where("kind = 'added'").select("dir", "name")
+
+
+def removed(changed: DataFrame) -> DataFrame:
+    return changed.where("kind = 'removed'").select("dir", "name")
+
+
+def common(changed: DataFrame) -> DataFrame:
+    """The files of both sides."""
+    return changed.where("n_before > 0 and n_after > 0").select("dir", "name")
+
+
 def directory_summary(changed: DataFrame, dirs_before: DataFrame | None, dirs_after: DataFrame) -> DataFrame:
     """dir and the 19 counters, of direct files."""
     zero = F.lit(0).cast(U64)
-    old, new = F.coalesce("old", zero), F.coalesce("new", zero)
-    of = lambda kind, value: F.when(F.col("kind") == kind, value).otherwise(zero)
-    one = lambda cond: F.when(cond, 1).otherwise(0).cast(U64)
-    file_part = {
-        "old_files": one(F.col("n_before") > 0), "new_files": one(F.col("n_after") > 0), "old_bytes": old, "new_bytes": new,
-        **{k: one(F.col("kind") == k) for k in ("added", "removed", "resized", "mtime_only", "attrs_only")},
-        "added_bytes": of("added", new), "removed_bytes": of("removed", old),
-        "grown_bytes": of("resized", F.when(new > old, new - old).otherwise(zero)), "shrunk_bytes": of("resized", F.when(old > new, old - new).otherwise(zero)),
-    }
-    rows = changed.select("dir", *[file_part.get(c, zero).cast(WIDE).alias(c) for c in COUNTERS])
+    old, new, kind = F.coalesce("old", zero), F.coalesce("new", zero), F.col("kind")
+    n = lambda cond: F.count(F.when(cond, 1))
+    size = lambda cond, value: F.sum(F.when(cond, value))
+    files = changed.groupBy("dir").agg(
+        n(F.col("n_before") > 0).alias("old_files"), n(F.col("n_after") > 0).alias("new_files"), F.sum("old").alias("old_bytes"), F.sum("new").alias("new_bytes"),
+        *[n(kind == k).alias(k) for k in ("added", "removed", "resized", "mtime_only", "attrs_only")],
+        size(kind == "added", new).alias("added_bytes"), size(kind == "removed", old).alias("removed_bytes"),
+        size((kind == "resized") & (new > old), new - old).alias("grown_bytes"), size((kind == "resized") & (old > new), old - new).alias("shrunk_bytes"),
+    )
+    kinds = {c: F.lit(0).cast(WIDE if c.endswith(("_bytes", "_blocks")) else "long") for c in COUNTERS}
+    have = lambda frame, given: frame.select("dir", *[(F.coalesce(given[c].cast(v_type(c)), v) if c in given else v).alias(c) for c, v in kinds.items()])
+    v_type = lambda c: WIDE if c.endswith(("_bytes", "_blocks")) else "long"
+    rows = have(files, {c: F.col(c) for c in files.columns if c != "dir"})
     for side, dirs in (("old", dirs_before), ("new", dirs_after)):
         if dirs is not None:
-            part = {f"{side}_dirs": F.lit(1), f"{side}_links": F.col("links"), f"{side}_blocks": F.col("blocks")}
-            rows = rows.unionByName(dirs.select("dir", *[part.get(c, zero).cast(WIDE).alias(c) for c in COUNTERS]))
-    return rows.groupBy("dir").agg(*[checked(F.sum(c), c).alias(c) for c in COUNTERS])
+            rows = rows.unionByName(have(dirs, {f"{side}_dirs": F.lit(1), f"{side}_links": F.col("links"), f"{side}_blocks": F.col("blocks")}))
+    return rows.groupBy("dir").agg(*[checked(F.sum(c).cast(WIDE), c).alias(c) for c in COUNTERS])
 
 
 def total(summary: DataFrame) -> DataFrame:

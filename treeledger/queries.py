@@ -16,9 +16,10 @@ from .functions import text as X
 from .operators import compare as C
 from .operators.order import carry_forward
 from .operators.snapshot import read
+from .runtime import checkpoint_dir
 from .schema import COUNTERS, SNAPSHOT, U64
 from .sources.artifacts import restored
-from .sources.text import find_totals, number_rows, parse_find, parse_listing, parse_tsv
+from .sources.text import find_totals, number_rows, orphans, parse_find, parse_listing, parse_tsv
 from .sources.sinks import tsv_lines
 
 TOP = 25
@@ -32,10 +33,16 @@ def _long(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[c if c in keep else F.col(c).cast("long").alias(c) for c in df.columns])
 
 
-def _files(spark: SparkSession, sf: str, side: str) -> DataFrame:
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per file of the lineitem tree; both sides and their directories are made of this one table."""
+    rows = _table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    checkpoint_dir(spark)
+    return rows.agg((F.sum(F.col("l_quantity").cast("long")) * 1000).alias("size"), F.min("l_returnflag").alias("stamp"), F.min("l_linestatus").alias("attrs")).checkpoint()
+
+
+def _files(base: DataFrame, side: str) -> DataFrame:
     """dir, name, size, stamp, attrs and supplier of one side of the lineitem tree."""
-    rows = _table(spark, sf, "lineitem").where("l_orderkey % 10 <> 0" if side == "before" else "l_orderkey % 10 <> 1")
-    rows = rows.groupBy("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").agg((F.sum(F.col("l_quantity").cast("long")) * 1000).alias("size"), F.min("l_returnflag").alias("stamp"), F.min("l_linestatus").alias("attrs"))
+    rows = base.where("l_orderkey % 10 <> 0" if side == "before" else "l_orderkey % 10 <> 1")
     k, size, stamp, attrs = F.col("l_orderkey"), F.col("size"), F.col("stamp"), F.col("attrs")
     if side == "after":
         size = size + F.when(k % 7 == 0, (k % 5 - 2) * 100).otherwise(0)
@@ -50,13 +57,14 @@ def _dirs(files: DataFrame, side: str) -> DataFrame:
 
 def _pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """changes, directory summary, files and directories of the newer side."""
-    before, after = _files(spark, sf, "before"), _files(spark, sf, "after")
+    base = _base(spark, sf)
+    before, after = _files(base, "before"), _files(base, "after")
     changed = C.changes(before, after)
     return changed, C.directory_summary(changed, _dirs(before, "before"), _dirs(after, "after")), after, _dirs(after, "after")
 
 
 def _single(spark: SparkSession, sf: str) -> DataFrame:
-    after = _files(spark, sf, "after")
+    after = _files(_base(spark, sf), "after")
     return C.directory_summary(C.changes(None, after), None, _dirs(after, "after"))
 
 
@@ -192,19 +200,18 @@ def no_growth_dirs(spark, sf):
     return _long(C.no_growth(_block_summary(spark, sf)).select("dir", "attrs_only", C.block_delta().alias("block_delta")), "dir")
 
 
-def _semi(name: str, how: str, sql: str) -> None:
+def _set(name: str, pick, sql: str) -> None:
     def f(spark, sf):
-        before, after = _files(spark, sf, "before"), _files(spark, sf, "after")
-        a, b = (before, after) if name == "removed_files" else (after, before)
-        return a.join(b, ["dir", "name"], how).select("dir", "name")
+        base = _base(spark, sf)
+        return pick(C.changes(_files(base, "before"), _files(base, "after")))
 
     f.__name__ = name
     _query(f"WITH {_SQL_FILES} {sql}")(f)
 
 
-_semi("added_files", "left_anti", "SELECT dir, name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.dir = a.dir AND b.name = a.name)")
-_semi("removed_files", "left_anti", "SELECT dir, name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.dir = a.dir AND b.name = a.name)")
-_semi("common_files", "left_semi", "SELECT dir, name FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.dir = a.dir AND b.name = a.name)")
+_set("added_files", C.added, "SELECT dir, name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.dir = a.dir AND b.name = a.name)")
+_set("removed_files", C.removed, "SELECT dir, name FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.dir = a.dir AND b.name = a.name)")
+_set("common_files", C.common, "SELECT dir, name FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.dir = a.dir AND b.name = a.name)")
 
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -215,8 +222,8 @@ def duplicate_keys(spark, sf):
 
 @_query("SELECT DISTINCT o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 <> 0)")
 def missing_parents(spark, sf):
-    directories = _table(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    return _table(spark, sf, "orders").join(directories, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_custkey").distinct()
+    directories = _table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("path"))
+    return orphans(_table(spark, sf, "orders").select(F.col("o_custkey").alias("parent")), directories).select(F.col("parent").alias("o_custkey")).distinct()
 
 
 _DOC_PLACE = "(CAST(substr(source, 4) AS BIGINT) * 10 + CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END) * 10000000"
@@ -353,4 +360,4 @@ def human_sizes(spark, sf):
 
 @_query(f"{_sql_pair()} SELECT dir, CAST(round((new_bytes - old_bytes) / 7.0) AS BIGINT) AS per_day FROM s")
 def daily_growth(spark, sf):
-    return _pair(spark, sf)[1].select("dir", F.round(C.delta() / F.lit(7).cast("decimal(2,0)")).cast("long").alias("per_day"))
+    return _pair(spark, sf)[1].select("dir", X.daily_bytes(C.delta(), 7).cast("long").alias("per_day"))

@@ -14,7 +14,7 @@ U64_MAX = 2**64 - 1
 U64 = T.DecimalType(20, 0)
 WIDE = T.DecimalType(38, 0)
 
-#: The counters of a directory, a path group or everything.
+#: The counters of a directory, a path group or everything, by the names that the queries and their SQL share.
 COUNTERS = (
     "old_files", "new_files", "old_dirs", "new_dirs", "old_links", "new_links", "old_bytes", "new_bytes", "old_blocks", "new_blocks",
     "added", "removed", "resized", "mtime_only", "attrs_only", "added_bytes", "removed_bytes", "grown_bytes", "shrunk_bytes",

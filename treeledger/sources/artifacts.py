@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,28 +26,52 @@ def _connect(engine: str, path: str):
 
 
 class Range(InputPartition):
-    def __init__(self, lo: int | None, hi: int | None):
-        super().__init__((lo, hi))
-        self.lo, self.hi = lo, hi
+    """A range of the column by, and how many rows it has."""
+
+    def __init__(self, by: str, lo: int, hi: int, rows: int):
+        super().__init__((by, lo, hi, rows))
+        self.by, self.lo, self.hi, self.rows = by, lo, hi, rows
 
 
 class SnapshotReader(DataSourceReader):
+    """Ranges of the table's own row numbers, which need no index, or of row_index where a table or view has none.
+
+    The rows of all ranges are counted first; a range that delivers another number fails.
+    """
+
     def __init__(self, engine: str, path: str):
         self.engine, self.path = engine, path
 
     def partitions(self) -> list[Range]:
-        with _connect(self.engine, self.path) as db:
-            n, lo, hi = db.execute("SELECT count(*), min(row_index), max(row_index) FROM snapshot").fetchone()
-        if not n:
-            return [Range(0, -1)]
-        step = max(1, -(-(hi - lo + 1) * RANGE_ROWS // n))
-        return [Range(a, min(a + step - 1, hi)) for a in range(lo, hi + 1, step)]
+        with contextlib.closing(_connect(self.engine, self.path)) as db:
+            for by in ("rowid", "row_index"):
+                try:
+                    n, lo, hi = db.execute(f"SELECT count(*), min({by}), max({by}) FROM snapshot").fetchone()
+                    break
+                except Exception:
+                    if by == "row_index":
+                        raise
+            if not n or lo is None:
+                return [Range("row_index", 0, -1, 0)] if not n else self._nulls(n)
+            step = max(1, -(-(hi - lo + 1) * RANGE_ROWS // n))
+            cut = f"({by} - ({lo})) / {step}" if self.engine == "sqlite" else f"({by} - ({lo})) // {step}"
+            counts = db.execute(f"SELECT {cut}, count(*) FROM snapshot WHERE {by} IS NOT NULL GROUP BY 1 ORDER BY 1").fetchall()
+        found = [Range(by, lo + int(k) * step, min(lo + int(k) * step + step - 1, hi), rows) for k, rows in counts]
+        missing = n - sum(r.rows for r in found)
+        return found + (self._nulls(missing) if missing else [])
+
+    def _nulls(self, n: int) -> list[Range]:
+        raise SnapshotError(f"NULL row_index in {n} rows")
 
     def read(self, partition: Range):
-        with _connect(self.engine, self.path) as db:
-            found = db.execute(f"SELECT {_SELECT} FROM snapshot WHERE row_index BETWEEN ? AND ?", (partition.lo, partition.hi))
+        delivered = 0
+        with contextlib.closing(_connect(self.engine, self.path)) as db:
+            found = db.execute(f"SELECT {_SELECT} FROM snapshot WHERE {partition.by} BETWEEN ? AND ?", (partition.lo, partition.hi))
             while rows := found.fetchmany(5000):
+                delivered += len(rows)
                 yield from (tuple(r) for r in rows)
+        if delivered != partition.rows:
+            raise SnapshotError(f"{self.path}: {delivered} rows came of {partition.rows}")
 
 
 class SqliteSnapshot(DataSource):

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import sys
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.order import carry_forward, read_ordered
+from ..runtime import checkpoint_dir
 from ..schema import COLUMNS, FIND_FIELD, FIND_RECORD, SNAPSHOT, TEXT_LINE, U64, U64_MAX, WIDE, SnapshotError
 
 
-def spool(path: str) -> str:
-    """The path itself, or for - a file with what stands on standard input."""
+def spool(spark: SparkSession, path: str) -> str:
+    """The path itself, or for - a file with what stands on standard input, in the shared folder; it goes with the session."""
     if path != "-":
         return path
-    with tempfile.NamedTemporaryFile(prefix="treeledger-stdin-", delete=False) as f:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/stdin-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(place)
+    out = fs.create(place)
+    try:
         while data := sys.stdin.buffer.read(1 << 20):
-            f.write(data)
-    return f.name
+            out.write(data)
+    finally:
+        out.close()
+    return place.toString()
 
 
 def _rows(frame: DataFrame) -> DataFrame:
@@ -61,8 +68,7 @@ def parse_listing(lines: DataFrame, report: bool = False) -> DataFrame:
 def parse_tsv(lines: DataFrame) -> DataFrame:
     """Snapshot rows of TSV lines (row_index, value), whose first is the header."""
     body = lines.where("row_index > 1").withColumn("cells", F.split("value", "\t", -1))
-    _check(body, {"Invalid snapshot row: expected 12 columns": F.size("cells") != 12})
-    _check(body, {"Invalid snapshot escape": F.exists("cells", lambda c: ~X.valid_cell(c))})
+    _check(body, {"a TSV row needs 12 cells": F.size("cells") != 12, "unknown escape in a TSV cell": F.exists("cells", lambda c: ~X.valid_cell(c))})
     return _rows(body.select("row_index", *[X.decode_cell(F.col("cells")[k]).alias(c) for k, c in enumerate(COLUMNS)]))
 
 
@@ -70,30 +76,30 @@ def parse_find(fields: DataFrame) -> DataFrame:
     """Snapshot rows of find fields (row_index from 1, value): ten to a record; directories in path order."""
     ordinal = F.col("row_index") - 1
     names = ("path", "type", "size", "blocks", "permissions", "links", "uid", "gid", "epoch", "target")
-    count = fields.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("value")).alias("longest")).first()
-    if count["n"] == 0 or count["n"] % 10:
-        raise SnapshotError("Truncated find record" if count["n"] else "No find records")
-    if count["longest"] > FIND_FIELD:
-        raise SnapshotError("find field exceeds its limit")
     records = fields.groupBy(F.floor(ordinal / 10).alias("ordinal")).agg(*[F.max(F.when(ordinal % 10 == k, F.col("value"))).alias(c) for k, c in enumerate(names)])
+    records = records.persist()
     kinds = F.create_map(*[F.lit(x) for pair in zip("fdlbcps", "-dlbcps") for x in pair])
     numbers = {c: X.u64(F.col(c)) for c in ("size", "blocks", "links", "uid", "gid")}
     bad_path = (F.col("path") != "") & F.exists(F.split("path", "/", -1), lambda p: p.isin("", ".", ".."))
     kind = F.when(F.length("type") == 1, F.element_at(kinds, F.col("type")))
+    root = F.col("path") == ""
     _check(
         records,
         {
+            "Truncated find record": F.greatest(*[F.col(c).isNull() for c in names]),
+            "find field exceeds its limit": F.greatest(*[F.octet_length(c) for c in names]) > FIND_FIELD,
             "find record exceeds its limit": sum(F.octet_length(c) for c in names) > FIND_RECORD,
-            "Invalid find path": bad_path,
-            "Invalid find type": F.coalesce(F.col("type").isin(*"fdlbcps"), F.lit(False)) == F.lit(False),
-            "Invalid find permissions": ~F.col("permissions").rlike(r"^[-dlbcps][-rwxsStT]{9}$") | (F.substring("permissions", 1, 1) != kind),
-            "Invalid find number": F.greatest(*[x.isNull() for x in numbers.values()]),
-            "Invalid find time": ~F.col("epoch").rlike(r"^-?[0-9]+\.[0-9]+$"),
-            "find root is not a directory": (F.col("path") == "") & (F.col("type") != "d"),
+            "find path is not plain and relative": bad_path,
+            "unknown find type": F.coalesce(F.col("type").isin(*"fdlbcps"), F.lit(False)) == F.lit(False),
+            "find permissions don't fit the type": ~F.col("permissions").rlike(r"^[-dlbcps][-rwxsStT]{9}$") | (F.substring("permissions", 1, 1) != kind),
+            "find number is no unsigned 64-bit integer": F.greatest(*[x.isNull() for x in numbers.values()]),
+            "find time is not seconds with a fraction": ~F.col("epoch").rlike(r"^-?[0-9]+\.[0-9]+$"),
+            "find root is not a directory": root & (F.col("type") != "d"),
+            "find root is not the first record": root != (F.col("ordinal") == 0),
         },
     )
-    if records.where("path = ''").count() != 1 or records.where("ordinal = 0 and path = ''").count() != 1:
-        raise SnapshotError("find input needs one root record, first")
+    if records.isEmpty():
+        raise SnapshotError("No find records")
     if records.groupBy("path").count().where("count > 1").limit(1).count():
         raise SnapshotError("Duplicate find path")
     slash = F.col("path").contains("/")
@@ -106,7 +112,7 @@ def parse_find(fields: DataFrame) -> DataFrame:
     )
     directories = records.where("type = 'd'").select(F.col("path").alias("directory_path"), F.col("ordinal").alias("directory_ordinal"))
     children = records.where("path <> ''")
-    if children.join(directories, children["parent"] == directories["directory_path"], "left_anti").limit(1).count():
+    if orphans(children, directories.withColumnRenamed("directory_path", "path")).limit(1).count():
         raise SnapshotError("Missing parent directory in find input")
     totals = find_totals(children)
     problem = totals.where(F.col("total_bytes").isNull()).limit(1).count()
@@ -125,6 +131,11 @@ def parse_find(fields: DataFrame) -> DataFrame:
     return _rows(number_rows(head.unionByName(total).unionByName(entries), "_path", "_at"))
 
 
+def orphans(children: DataFrame, directories: DataFrame) -> DataFrame:
+    """The children whose parent is no path of directories."""
+    return children.join(directories.select(F.col("path").alias("parent")), "parent", "left_anti")
+
+
 def find_totals(children: DataFrame) -> DataFrame:
     """parent and total_bytes (allocated bytes of direct children; null beyond 64 bits)."""
     total = F.sum("bytes").cast(WIDE)
@@ -164,13 +175,14 @@ def _last_bytes(spark: SparkSession, path: str, n: int) -> bytes:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines without the carriage return of terminated ones; checks length and UTF-8."""
     raw = read_ordered(spark, path)
+    _check(raw, {"line exceeds its limit": F.octet_length("value") > TEXT_LINE + 1, "input is not UTF-8": ~F.is_valid_utf8("value")})
     whole = _last_bytes(spark, path, 1) in (b"\n", b"")
     value = F.regexp_replace("value", r"\r\z", "")
     if not whole:
         last = raw.agg(F.max("row_index")).first()[0]
         value = F.when(F.col("row_index") == last, F.col("value")).otherwise(value)
     lines = raw.select("row_index", value.alias("value"))
-    _check(lines, {"line exceeds its limit": F.octet_length("value") > TEXT_LINE, "input is not UTF-8": ~F.is_valid_utf8("value")})
+    _check(lines, {"line exceeds its limit": F.octet_length("value") > TEXT_LINE})
     return lines
 
 
