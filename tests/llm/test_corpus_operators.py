@@ -309,6 +309,18 @@ def test_scores_follow_the_corpus_beyond_the_broadcast_bound(spark, docs):
     assert scoring.score_texts(spark, more.limit(0), max_filter_mb=0).count() == 0
 
 
+def test_filter_bound():
+    counts = np.arange(1, 5000)
+    assert (scoring.quantised(counts, 1) <= counts).all() and (scoring.quantised(counts, 4) <= 2.5 * counts).all()
+    r = np.random.default_rng(5)
+    for many in (1, 40, 3000):
+        words = r.integers(0, many, 4000)
+        one, two = (np.unique(x, return_counts=True)[1] for x in (words, words[1:] * many + words[:-1]))
+        levels = np.concatenate([scoring.quantised(one, 4), scoring.quantised(two, 1)])
+        keys = np.unique(r.integers(0, 2**63, 2 * len(levels), dtype=np.uint64))[: len(levels)]
+        assert len(scoring.Filter.segment(keys, levels, 14)) <= scoring.filter_bound(len(words), 14, 1)
+
+
 def test_filter_counts():
     r = np.random.default_rng(3)
     keys = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))

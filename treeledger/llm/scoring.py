@@ -6,17 +6,18 @@ probing for 1, 2, ... until a probe fails or the largest level stored is reached
 four.  A count that is multiplied is read as the smallest of its level and one that is divided by as the largest, so the
 probabilities of all words behind a word add up to 1 at most: what quantising takes away is left to words that the model
 doesn't know.  All words and, by default, all bigrams are stored.  The filter has ``bits`` bits per element, so it follows
-the corpus.  It is made of one segment per range of hash values, each built where the exact counts of that range are.  Up
-to ``max_filter_mb`` the segments are broadcast; a larger filter stays where it is: the n-grams of slices of texts are
-dealt to their segments, and the levels found there are dealt back.  Both ways give the same scores.
-
-Exact word counts come from one exchange of (word, text, multiplicity) by hash ranges; the base score of a text is the sum
-of what each range says about it, so neither vocabulary nor texts are gathered anywhere.  The end token, which every text
-has, is counted apart: its count is the number of training texts.
-
-Words are known by 64-bit hashes.  Defined results: null and empty texts have the end token only; repeated rows are
-scored alike; a null doc_id counts as the empty text for the split; without training tokens every count is 0; an empty
-table gives an empty result; other columns are ignored.
+the corpus.  It is made of one segment per range of hash values, each built where the exact counts of that range are.
+
+Texts are read once, in slices.  A slice sends each distinct n-gram with its count to the n-gram's range, so a frequent
+word is one entry a slice however many documents hold it, and gets back the exact counts of its words, which the base score
+is made of.  Its squeezed texts, smaller than their tokens, wait at a home part.  The filter is broadcast where the size of the
+texts proves that it can't exceed ``max_filter_mb`` (``filter_bound``); beyond, the n-grams of a slice are probed where the
+segments are built, and their levels go home with the counts.  Both ways give the same scores.
+
+Words are known by 64-bit hashes.  The end token, which every text has, is counted apart: its count is the number of
+training texts.  Defined results: null and empty texts have the end token only; repeated rows are scored alike; a null
+doc_id counts as the empty text for the split; without training tokens every count is 0; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from . import textbytes as tb
 
 U64 = np.uint64
 END = U64(0x6C62272E07BB0142)
-SLICE = 2 << 20
+SLICE = 4 << 20
 HASHES = 4
 #: Levels a doubling of counts; bits of a bigram's hash that are kept, the others are 0 and needn't be sent.
 WORD_STEPS, PAIR_STEPS = 4, 1
@@ -76,37 +78,42 @@ def text_key(s: tb.Slice, ids: list[int | None]) -> np.ndarray:
     return tb.mix(tb.mix(own) ^ s.hashes(s.start, s.end))
 
 
+#: Rows that are exchanged: n-grams of a slice, what their range says of them, texts at home, a range's own figures.
+ASKED = "part int, slice long, words binary, times binary, pairs binary, pair_times binary, text binary, sizes binary, ids array<long>"
+MET = "part int, slice long, of int, counts binary, levels binary, pair_levels binary, text binary, sizes binary, ids array<long>, segment binary, most int, learned long, distinct long"
+
+
+def _batch(kind: str, **row) -> pa.RecordBatch:
+    """One row; columns that aren't given are null."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, types[of]) for name, of in (x.split() for x in kind.split(", "))])
+    return pa.RecordBatch.from_pylist([row], schema)
+
+
 def _counts(docs: DataFrame, n: int) -> DataFrame:
-    kind = "part int, words binary, owners binary, times binary, texts binary, learn binary, pairs binary, pair_times binary"
+    """Per slice: a row for each range that has n-grams of it, with their training counts, and one for its home part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             ids = b.column(0).to_pylist()
             for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
                 own = ids[s.lo : s.lo + s.n]
-                learn = np.array([not held_out(x) for x in own], np.uint8)
-                key = text_key(s, own)
+                learn = np.array([not held_out(x) for x in own])
+                me = int.from_bytes(hashlib.blake2b(text_key(s, own).tobytes(), digest_size=8).digest(), "little", signed=True)
                 token, owner = tokens(s)
-                pair, pair_times = np.unique(bigrams(token)[learn[owner] == 1], return_counts=True)
-                words = token != END
-                token, owner = token[words], owner[words]
-                order = np.lexsort((owner, token))
-                token, owner = token[order], owner[order]
-                at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]))
-                times = np.diff(np.append(at, len(token)))
-                token, owner = token[at], owner[at]
-                edge, pair_edge = packed.bounds(token, n), packed.bounds(pair, n)
-                rows = []
-                for k in range(n):
-                    a, e, c, d = edge[k], edge[k + 1], pair_edge[k], pair_edge[k + 1]
-                    if a == e and c == d:
-                        continue
-                    here, local = np.unique(owner[a:e], return_inverse=True)
-                    rows.append((k, packed.squeeze(token[a:e]), packed.planes(local, "<u4"), packed.planes(times[a:e], "<u4"), key[here].astype("<u8").tobytes(), learn[here].tobytes(), packed.squeeze(pair[c:d]), packed.planes(pair_times[c:d], "<u4")))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in kind.split(", ")])
-
-    return packed.arrow_map(docs.select("doc_id", "text"), run, kind)
+                learnt, word = learn[owner], token != END
+                words, place = np.unique(token[word], return_inverse=True)
+                times = np.bincount(place, learnt[word], len(words))
+                pairs, pair_place = np.unique(bigrams(token), return_inverse=True)
+                pair_times = np.bincount(pair_place, learnt, len(pairs))
+                edge, pair_edge = packed.bounds(words, n), packed.bounds(pairs, n)
+                for k in np.flatnonzero(np.diff(edge) + np.diff(pair_edge)).tolist():
+                    w, p = slice(edge[k], edge[k + 1]), slice(pair_edge[k], pair_edge[k + 1])
+                    yield _batch(ASKED, part=k, slice=me, words=packed.squeeze(words[w]), times=packed.planes(times[w], "<u4"), pairs=packed.squeeze(pairs[p]), pair_times=packed.planes(pair_times[p], "<u4"))
+                yield _batch(ASKED, part=me % n, slice=me, text=small(s.buf.tobytes()), sizes=small(packed.planes(s.end - s.start, "<u8")), ids=own)
+
+    return packed.arrow_map(docs.select("doc_id", "text"), run, ASKED)
 
 
 def quantised(counts: np.ndarray, steps: int) -> np.ndarray:
@@ -124,10 +131,11 @@ def range_of(level: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """A log-frequency Bloom filter in segments: edges are the segments' first bits, and the end; most the largest level."""
+    """A log-frequency Bloom filter in segments: edges are the segments' first bits, and the end; most the largest level,
+    of all or of each segment."""
 
-    def __init__(self, data: bytes | bytearray, edges: np.ndarray, most: int):
-        self.data, self.edges, self.most = np.frombuffer(data, np.uint8), edges, most
+    def __init__(self, data: bytes | bytearray, edges: np.ndarray, most: int | np.ndarray):
+        self.data, self.edges, self.most = np.frombuffer(data, np.uint8), edges, np.broadcast_to(most, len(edges) - 1)
 
     @staticmethod
     def places(keys: np.ndarray, level: int, which: int, bits: np.ndarray | np.uint64) -> np.ndarray:
@@ -147,77 +155,70 @@ class Filter:
         """How many levels each key has, 0 for keys that aren't there."""
         n = len(self.edges) - 1
         part = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
-        first, bits = self.edges[part], (self.edges[part + 1] - self.edges[part]).astype(U64)
-        level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        while len(live) and level[live[0]] < self.most:  # all that live have one level; a full filter ends too
+        first, bits, most = self.edges[part], (self.edges[part + 1] - self.edges[part]).astype(U64), self.most[part]
+        level, step = np.zeros(len(keys), np.int64), 0
+        live = np.flatnonzero(most > 0)
+        while len(live):  # a full filter ends too
+            step += 1
             for which in range(HASHES):
-                place = self.places(keys[live], int(level[live[0]]) + 1, which, bits[live]).astype(np.int64) + first[live]
+                place = self.places(keys[live], step, which, bits[live]).astype(np.int64) + first[live]
                 live = live[self.data[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 == 1]
                 if not len(live):
                     break
-            level[live] += 1
+            level[live] = step
+            live = live[most[live] > step]
         return level
 
 
-def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int) -> DataFrame:
-    """Per range of hashes: a row with its filter segment, tokens and distinct words, and rows (part, rows, ...) on texts."""
-    kind = "part int, texts binary, sums binary, known binary, total binary, segment binary, most int, tokens long, distinct long"
+def filter_bound(tokens: int, bits: int, n: int) -> int:
+    """Bytes that a filter of so many training tokens can't exceed.  An n-gram seen c times has at most c elements as a
+    bigram (1 + log2 c) and 2.5 c as a word (1 + 4 log2 c), and a segment is rounded up by 9 bytes at most."""
+    return math.ceil(tokens * 3.5 * bits / 8) + 9 * n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, here = [], None
-        for r in packed.rows_of(batches):
-            here = r["part"]
-            local = packed.unplanes(r["owners"], "<u4")
-            parts.append((packed.expand(r["words"]), np.frombuffer(r["texts"], "<u8")[local], packed.unplanes(r["times"], "<u4").astype(np.int64), np.frombuffer(r["learn"], np.uint8)[local] == 1, packed.expand(r["pairs"]), packed.unplanes(r["pair_times"], "<u4").astype(np.int64)))
-        if here is None:
-            return
-        word, text, times, learn, pair, pair_times = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        del parts
-        order = np.argsort(pair)
-        pair, at = pair[order], packed.starts(pair[order])
-        pair_times = np.add.reduceat(pair_times[order], at) if len(at) else pair_times[:0]
-        pair = pair[at][pair_times >= min_bigram]
-        pair_times = pair_times[pair_times >= min_bigram]
-        order = np.argsort(word)
-        word, text, times, learn = word[order], text[order], times[order], learn[order]
-        at = packed.starts(word)
-        count = np.add.reduceat(times * learn, at) if len(at) else times[:0]
-        stored = count > 0
-        levels = np.concatenate([quantised(count[stored], WORD_STEPS), quantised(pair_times, PAIR_STEPS)])
-        segment = Filter.segment(np.concatenate([word[at][stored], pair]), levels, bits)
-        yield pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([segment]), pa.array([int(levels.max(initial=0))], pa.int32()), pa.array([int(count.sum())]), pa.array([int(stored.sum())])], names=[x.split()[0] for x in kind.split(", ")])
-        each = np.repeat(count, np.diff(np.append(at, len(word))))
-        order = np.argsort(text)
-        text, where = text[order], packed.starts(text[order])
-        total = lambda x: np.add.reduceat(x[order], where)
-        if not len(where):
-            return
-        sums, known, whole = total(times * np.log10(each + 1.0)), total(times * (each > 0)), total(times)
-        text = text[where]
-        edge = packed.bounds(text, n)
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            a, e = edge[k], edge[k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed.squeeze(text[a:e])]), pa.array([sums[a:e].astype("<f8").tobytes()]), pa.array([packed.planes(known[a:e], "<u4")]), pa.array([packed.planes(whole[a:e], "<u4")]), pa.array([None], pa.binary()), pa.array([0], pa.int32()), pa.array([0]), pa.array([0])], names=[x.split()[0] for x in kind.split(", ")])
 
-    return packed.arrow_map(packed.deal(blobs, n), run, kind)
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums of times, and the place of each given key among them."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(times), len(distinct)).astype(np.int64), at
 
 
-def _texts(met: DataFrame, n: int) -> DataFrame:
-    """key, sum of log10(c + 1), n_known and words of each text that has words, summed over the rows that repeat it."""
+def _meet(blobs: DataFrame, n: int, bits: int, min_bigram: int, probe: bool) -> DataFrame:
+    """Per range of hashes: a row with its figures and, unless probe is set, its filter segment, and a row for each slice
+    with the counts of its words and, with probe, the levels of its n-grams.  Rows of home parts pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(packed.expand(r["texts"]), np.frombuffer(r["sums"], "<f8"), packed.unplanes(r["known"], "<u4"), packed.unplanes(r["total"], "<u4")) for r in packed.rows_of(batches)]
-        if not rows:
+        here, asked, words, times, pairs, pair_times = None, [], [], [], [], []
+        for r in packed.rows_of(batches):
+            if r["ids"] is not None:
+                yield _batch(MET, **{x: r[x] for x in ("part", "slice", "text", "sizes", "ids")})
+                continue
+            here = r["part"]
+            asked.append(r["slice"])
+            words.append(packed.expand(r["words"]))
+            times.append(packed.unplanes(r["times"], "<u4"))
+            pairs.append(packed.expand(r["pairs"]))
+            pair_times.append(packed.unplanes(r["pair_times"], "<u4"))
+        if here is None:
             return
-        text, sums, known, total = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        ids, where = np.unique(text, return_inverse=True)
-        whole = lambda x: pa.array(np.bincount(where, x).round().astype(np.int64))
-        yield pa.RecordBatch.from_pydict({"key": pa.array(ids.view(np.int64)), "sums": pa.array(np.bincount(where, sums)), "n_known": whole(known), "words": whole(total)})
-
-    return packed.arrow_map(packed.deal(met.where("texts is not null").select("part", "texts", "sums", "known", "total"), n), run, "key long, sums double, n_known long, words long")
-
-
-SCORED = "doc_id long, key long, held_out boolean, n_tokens long, score double"
+        cut, pair_cut = (np.concatenate([[0], np.cumsum([len(y) for y in x])]).tolist() for x in (words, pairs))
+        word, count, at = _summed(words, times)
+        pair, pair_count, pair_at = _summed(pairs, pair_times)
+        del words, times, pairs, pair_times
+        stored, pair_stored = count > 0, pair_count >= max(1, min_bigram)
+        levels = np.concatenate([quantised(count[stored], WORD_STEPS), quantised(pair_count[pair_stored], PAIR_STEPS)])
+        segment = Filter.segment(np.concatenate([word[stored], pair[pair_stored]]), levels, bits)
+        most = int(levels.max(initial=0))
+        yield _batch(MET, part=here, segment=None if probe else segment, most=most, learned=int(count.sum()), distinct=int(stored.sum()))
+        if probe:
+            f = Filter(segment, np.array([0, 8 * len(segment)], np.int64), most)
+            level, pair_level = (f.levels(x).astype(np.uint8) for x in (word, pair))
+        small = zstandard.ZstdCompressor(level=1).compress
+        for k, me in enumerate(asked):
+            w, p = at[cut[k] : cut[k + 1]], pair_at[pair_cut[k] : pair_cut[k + 1]]
+            found = {"levels": small(level[w].tobytes()), "pair_levels": small(pair_level[p].tobytes())} if probe else {}
+            yield _batch(MET, part=me % n, slice=me, of=here, counts=small(packed.planes(count[w], "<u8")), **found)
+
+    return packed.arrow_map(packed.deal(blobs, n), run, MET)
 
 
 @dataclass(frozen=True)
@@ -240,101 +241,59 @@ class Model:
         return np.log10(np.where(before > 0, self.weight * both + (1 - self.weight) * one, one))
 
 
-def _scored_broadcast(spark: SparkSession, docs: DataFrame, met: DataFrame, size: np.ndarray, most: int, model: Model) -> DataFrame:
-    """Scores by a broadcast filter; size has the bytes of each segment, 8 where there is none."""
+def _broadcast(spark: SparkSession, met: DataFrame, figures: list, n: int):
+    """The filter of the segments in met, as a broadcast of its bytes, edges and largest levels."""
+    size, most = np.full(n, 8, np.int64), np.zeros(n, np.int64)
+    for r in figures:
+        size[r["part"]], most[r["part"]] = r["size"], r["most"]
     edges = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int64)
     data = bytearray(int(size.sum()))
     for r in met.where("segment is not null").select("part", "segment").toLocalIterator():  # one segment at a time
         at = int(edges[r["part"]]) // 8
         data[at : at + len(r["segment"])] = r["segment"]
-    shared = spark.sparkContext.broadcast((data, edges))
-    del data
+    return spark.sparkContext.broadcast((data, edges, most))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Filter(*shared.value, most)
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
-                own = ids[s.lo : s.lo + s.n]
-                token, owner = tokens(s)
-                kinds, at = np.unique(token, return_inverse=True)
-                pairs, pair_at = np.unique(bigrams(token), return_inverse=True)
-                p = model.log_p(kinds, f.levels(kinds), at, f.levels(pairs)[pair_at])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(text_key(s, own).view(np.int64)), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(np.bincount(owner, minlength=s.n).astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=s.n))})
-
-    return packed.arrow_map(docs.select("doc_id", "text"), run, SCORED)
 
+def _scored(met: DataFrame, n: int, model: Model, shared) -> DataFrame:
+    """Scores of each slice's texts, where they and all answers meet.  shared: the filter, None if levels are answers."""
 
-def _scored_dealt(docs: DataFrame, met: DataFrame, n: int, most: int, model: Model) -> DataFrame:
-    """Scores by a filter whose segments stay apart: slices ask each segment for the levels of their n-grams.
-
-    A slice is known by a hash of its texts, so equal slices ask and get the same.  Its tokens go to its home part.
-    """
-    kind = "part int, slice long, of int, words binary, pairs binary, tokens binary, sizes binary, keys binary, ids array<long>, segment binary"
-    names = [x.split()[0] for x in kind.split(", ")]
-    schema = pa.schema([pa.field(x, t) for x, t in zip(names, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.binary()], strict=True)])
-    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for s in tb.slices(tb.as_bytes(b.column(1)), True, SLICE):
-                own = ids[s.lo : s.lo + s.n]
-                token, owner = tokens(s)
-                words, at = np.unique(token, return_inverse=True)
-                pairs = np.unique(bigrams(token))
-                key = text_key(s, own).astype("<u8").tobytes()
-                me = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
-                edge, pair_edge = packed.bounds(words, n), packed.bounds(pairs, n)
-                yield batch(*((k, me, k, packed.squeeze(words[edge[k] : edge[k + 1]]), packed.squeeze(pairs[pair_edge[k] : pair_edge[k + 1]])) for k in range(n) if edge[k] < edge[k + 1] or pair_edge[k] < pair_edge[k + 1]))
-                yield batch((me % n, me, None, packed.squeeze(words), None, packed.planes(at, "<u4"), packed.planes(np.bincount(owner, minlength=s.n), "<u4"), key, own))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, waiting = None, []
-
-        def found(r: dict) -> pa.RecordBatch:
-            levels = ((f.levels(packed.expand(r[x])) if f else np.zeros(len(r[x]) // 8)).astype(np.uint8).tobytes() for x in ("words", "pairs"))
-            return batch((r["slice"] % n, r["slice"], r["of"], *levels))
-
-        for r in packed.rows_of(batches):
-            if r["segment"] is not None:
-                f = Filter(r["segment"], np.array([0, 8 * len(r["segment"])], np.int64), most)
-            elif r["of"] is None:
-                yield batch([r[x] for x in names])
-            elif f is None:
-                waiting.append(r)
-            else:
-                yield found(r)
-            while f and waiting:
-                yield found(waiting.pop())
-        while waiting:  # no training token has a hash in this range
-            yield found(waiting.pop())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor().decompress
+        f = Filter(*shared.value) if shared else None
         homes, answers = [], {}
         for r in packed.rows_of(batches):
-            if r["of"] is None:
+            if r["ids"] is not None:
                 homes.append(r)
             else:
-                answers.setdefault(r["slice"], {})[r["of"]] = r["words"], r["pairs"]
+                answers.setdefault(r["slice"], {})[r["of"]] = r["counts"], r["levels"], r["pair_levels"]
         for r in homes:
-            own, sizes, words = r["ids"], packed.unplanes(r["sizes"], "<u4"), packed.expand(r["words"])
-            at = packed.unplanes(r["tokens"], "<u4")
-            pairs, pair_at = np.unique(bigrams(words[at]), return_inverse=True)
-            mine = [x for _, x in sorted(answers[r["slice"]].items())]
-            one, both = (np.frombuffer(b"".join(x[k] for x in mine), np.uint8).astype(np.int64) for k in range(2))
-            if len(one) != len(words) or len(both) != len(pairs):
-                raise ValueError("answers of filter segments are missing")
-            p = model.log_p(words, one, at, both[pair_at])
-            owner = np.repeat(np.arange(len(own)), sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64()), "key": pa.array(np.frombuffer(r["keys"], "<i8")), "held_out": pa.array([held_out(x) for x in own]), "n_tokens": pa.array(sizes.astype(np.int64)), "score": pa.array(np.bincount(owner, p, minlength=len(own)))})
-
-    segments = met.where("segment is not null").select("part", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in kind.split(", ")[1:-1]], "segment")
-    asked = packed.arrow_map(docs.select("doc_id", "text"), ask, kind)
-    return packed.arrow_map(packed.deal(packed.arrow_map(packed.deal(asked.unionByName(segments), n), answer, kind), n), score, SCORED)
-
-
-def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bits: int = 12, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
+            end = np.cumsum(packed.unplanes(large(r["sizes"]), "<u8").astype(np.int64) + 1) - 1
+            raw = large(r["text"])
+            token, owner = tokens(tb.Slice([raw[x:y] for x, y in zip([0, *(end[:-1] + 1).tolist()], end.tolist())], 0))
+            word, sizes = token != END, np.bincount(owner, minlength=len(end)).astype(np.int64)
+            words, place = np.unique(token[word], return_inverse=True)
+            kinds, at = np.append(words, END), np.full(len(token), len(words))
+            at[word] = place
+            pairs, pair_at = np.unique(bigrams(token), return_inverse=True)
+            mine = [x for _, x in sorted(answers[r["slice"]].items())]  # ranges of hashes, in order
+            count = np.concatenate([packed.unplanes(large(x[0]), "<u8") for x in mine]).astype(np.int64)
+            if f:
+                level, pair_level = f.levels(kinds), f.levels(pairs)
+            else:
+                level, pair_level = (np.frombuffer(b"".join(large(x[k]) for x in mine), np.uint8).astype(np.int64) for k in (1, 2))
+                level = np.append(level, 0)
+            if len(count) != len(words) or len(level) != len(kinds) or len(pair_level) != len(pairs):
+                raise ValueError("answers of ranges of hashes are missing")
+            c = np.append(count, model.ends)[at]
+            each = lambda x: np.bincount(owner, x, minlength=len(sizes))
+            base = each(np.log10(c + 1.0)) - sizes * math.log10(model.total)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(r["ids"], pa.int64()), "held_out": pa.array([held_out(x) for x in r["ids"]]), "n_tokens": pa.array(sizes), "n_known": pa.array(each(c > 0).astype(np.int64)), "base_score": pa.array(base), "score": pa.array(each(model.log_p(kinds, level, at, pair_level[pair_at])))})
+
+    exchanged = met.where("slice is not null").select("part", "slice", "of", "counts", "levels", "pair_levels", "text", "sizes", "ids")
+    return packed.arrow_map(packed.deal(exchanged, n), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bits: int = 14, max_filter_mb: int = 128, min_bigram: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     score: sum of log10(weight * c(previous, w) / c(previous) + (1 - weight) * (c(w) + 1) / (N + V + 1)), counts from the
@@ -342,26 +301,18 @@ def score_texts(spark: SparkSession, docs: DataFrame, weight: float = WEIGHT, bi
     """
     n = packed.n_parts(spark)
     graph.checkpoint_dir(spark)
-    met = _meet(_counts(docs, n), n, bits, min_bigram).checkpoint()
-    segments = met.where("segment is not null").select("part", F.length("segment").alias("size"), "most", "tokens", "distinct").collect()  # n rows at most
-    size = np.full(n, 8, np.int64)
-    for r in segments:
-        size[r["part"]] = r["size"]
     learned = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
-    ends = docs.agg(F.count(F.when(learned, 1)).alias("n")).first()["n"]
-    most = max((r["most"] for r in segments), default=0)
-    train_tokens, distinct = sum(r["tokens"] for r in segments) + ends, sum(r["distinct"] for r in segments) + (ends > 0)
-    model = Model(weight, ends, train_tokens + distinct + 1)
-    if size.sum() <= max_filter_mb << 20:
-        scored = _scored_broadcast(spark, docs, met, size, most, model)
-    else:
-        scored = _scored_dealt(docs, met, n, most, model)
-    rows = scored.join(_texts(met, n), "key", "left")
-    times = F.when(F.col("n_tokens") > 1, F.col("words") / (F.col("n_tokens") - 1))  # rows that repeat the text
-    sums = F.coalesce(F.col("sums") / times, F.lit(0.0)) + F.lit(math.log10(ends + 1))
-    known = F.coalesce(F.round(F.col("n_known") / times).cast("long"), F.lit(0).cast("long")) + F.lit(int(ends > 0))
-    base = sums - F.col("n_tokens") * F.lit(math.log10(model.total))
-    return rows.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # words are a byte at least and stand apart, so a text has half as many at most, and one end
+    most_words = F.expr("(coalesce(octet_length(text), 0) + 1) div 2")
+    seen = docs.agg(F.count(F.when(learned, 1)).alias("ends"), F.coalesce(F.sum(F.when(learned, most_words)), F.lit(0)).alias("words")).first()
+    ends = seen["ends"]
+    probe = filter_bound(seen["words"] + ends, bits, n) > max_filter_mb << 20
+    met = _meet(_counts(docs, n), n, bits, min_bigram, probe).checkpoint()
+    figures = met.where("most is not null").select("part", F.length("segment").alias("size"), "most", "learned", "distinct").collect()  # n rows at most
+    train_tokens, distinct = sum(r["learned"] for r in figures) + ends, sum(r["distinct"] for r in figures) + (ends > 0)
+    shared = None if probe else _broadcast(spark, met, figures, n)
+    rows = _scored(met, n, Model(weight, ends, train_tokens + distinct + 1), shared)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
