@@ -212,14 +212,16 @@ def test_one_row_of_equal_rows_stays(spark):
     assert lined["4"]["text"] == a and lined["4"]["n_removed"] == 0 and lined["3"]["text"] == "" and lined["0"]["text"] == a and lined["8"]["text"] is None
 
 
-def test_induced_sorting():
+@pytest.mark.parametrize("base", [0, 1 << 18])
+def test_induced_sorting(base, monkeypatch):
+    monkeypatch.setattr(induced, "BASE", base)
     for trial in range(120):
         alphabet = rng.choice([2, 3, 5, 200])
         strings = [bytes(rng.randrange(1, alphabet + 1) for _ in range(rng.randrange(1, rng.choice([4, 30, 80])))) for _ in range(rng.randrange(1, 30))]
         strings += strings[:3] if trial % 3 == 0 else [b"\1" * 60]
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         got = list(induced.suffixes(text, 20, rng.choice([100, 10**6])))
-        got = np.concatenate(got) if got else np.zeros(0, induced.BucketQueue.KIND)
+        got = np.concatenate(got) if got else np.zeros(0, induced.kind(text))
         tails = sorted((s[i:], k) for k, s in enumerate(strings) for i in range(len(s)))
         raw = text.tobytes()
         assert [raw[p : raw.index(0, p)] for p in got["pos"].tolist()] == [t for t, _ in tails]
@@ -227,6 +229,29 @@ def test_induced_sorting():
             assert got["lcp"][k] == min(20, len(os.path.commonprefix([tails[k - 1][0], tails[k][0]])))
 
 
+@pytest.mark.parametrize("budget", [500, 10**7])
+def test_induced_sorting_of_many_names(budget, monkeypatch):
+    """Large alphabets: groups of several characters, far groups dealt later, spilled queues, several levels."""
+    monkeypatch.setattr(induced, "BASE", 100)
+    monkeypatch.setattr(induced, "CHUNK", 300)
+    g = np.random.default_rng(4)
+    part = g.integers(1, 6000, 40)
+    strings = [[int(x) for x in g.integers(1, 6000, 8000)], [3, 3, 3, 7, 7, 3] * 60, *[list(map(int, part[k:])) for k in range(30)], list(range(1, 700)), list(range(700, 0, -1))]
+    text = np.array([x for s in strings for x in (*s, 0)], np.uint32)
+    ends = np.flatnonzero(text == 0)
+    levels = []
+    whole = induced.suffixes
+    monkeypatch.setattr(induced, "suffixes", lambda t, *more: levels.append(len(t)) or whole(t, *more))
+    got = np.concatenate(list(whole(text, 20, budget)))
+    tail = lambda p: text[p : ends[np.searchsorted(ends, p)]].tolist()
+    want = sorted((tail(p), p) for p in np.flatnonzero(text).tolist())
+    assert got["pos"].tolist() == [p for _, p in want] and len(levels) >= 1
+    for k in range(1, len(want)):
+        a, b = want[k - 1][0], want[k][0]
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert got["lcp"][k] == min(20, same)
+
+
 def test_packed_values():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (packed.expand(packed.squeeze(keys)) == keys).all() and len(packed.expand(packed.squeeze(keys[:0]))) == 0
