@@ -212,9 +212,9 @@ def test_one_row_of_equal_rows_stays(spark):
     assert lined["4"]["text"] == a and lined["4"]["n_removed"] == 0 and lined["3"]["text"] == "" and lined["0"]["text"] == a and lined["8"]["text"] is None
 
 
-@pytest.mark.parametrize("base", [0, 1 << 18])
-def test_induced_sorting(base, monkeypatch):
-    monkeypatch.setattr(induced, "BASE", base)
+@pytest.mark.parametrize("each", [80, 10**9])
+def test_induced_sorting(each, monkeypatch):
+    monkeypatch.setattr(induced, "NAME_BYTES", each)
     for trial in range(120):
         alphabet = rng.choice([2, 3, 5, 200])
         strings = [bytes(rng.randrange(1, alphabet + 1) for _ in range(rng.randrange(1, rng.choice([4, 30, 80])))) for _ in range(rng.randrange(1, 30))]
@@ -232,7 +232,7 @@ def test_induced_sorting(base, monkeypatch):
 @pytest.mark.parametrize("budget", [500, 10**7])
 def test_induced_sorting_of_many_names(budget, monkeypatch):
     """Large alphabets: groups of several characters, far groups dealt later, spilled queues, several levels."""
-    monkeypatch.setattr(induced, "BASE", 100)
+    monkeypatch.setattr(induced, "NAME_BYTES", 10**5)
     monkeypatch.setattr(induced, "CHUNK", 300)
     g = np.random.default_rng(4)
     part = g.integers(1, 6000, 40)

@@ -4,7 +4,7 @@ The text is an array of numbers in which 0 ends each string.  Suffixes are compa
 are counted up to ``limit``.  As in external SA-IS:
 
 * left-most S positions (LMS) are cut out and their substrings named by sorting; where names aren't unique, the names are
-  the text of the next level, which is sorted by the same function, down to ``BASE`` names;
+  the text of the next level, which is sorted by the same function, until the names fit the memory budget;
 * the common prefix of two names' suffixes, taken from the next level, says where the comparison of their characters may
   begin, so none is compared twice;
 * tuples (position, preceding character, common prefix with the tuple before) go from the sorted LMS through a priority
@@ -28,8 +28,9 @@ import numpy as np
 
 U64 = np.uint64
 CHUNK = 1 << 17
-#: The recursion ends where so few names are left: they are told apart in memory, by pairs over doubled distances.
-BASE = 1 << 18
+#: The recursion ends where so many bytes for each name fit the budget: the names are told apart in memory, by pairs over
+#: doubled distances, which takes so much.
+NAME_BYTES = 80
 
 
 def kind(text: np.ndarray) -> np.dtype:
@@ -287,7 +288,7 @@ def _sorted_lms(text: np.ndarray, small: np.ndarray, lms: np.ndarray, limit: int
     top = int(name.max())
     if top + len(ends) == len(lms):  # all are unique
         order, known = np.argsort(name, kind="stable"), 0
-    elif len(lms) <= BASE:
+    elif len(lms) * NAME_BYTES <= budget:
         order, known = np.argsort(doubled(name)), 0
     else:
         below = [(x["pos"].astype(np.int64), x["lcp"].astype(np.int64)) for x in suffixes(name, limit // 2 + 1, budget)]
