@@ -85,10 +85,14 @@ def _settle(o: argparse.Namespace) -> None:
         setattr(o, name, usual if given is None else given)
 
 
+def options(o: argparse.Namespace) -> Options:
+    """The options of a report."""
+    return Options(o.inputs, o.depth, o.top, o.block_size, o.include_merged, o.days, o.input_format)
+
+
 def run(o: argparse.Namespace, spark: SparkSession, out) -> None:
     if o.format == "text":
-        options = Options(o.inputs, o.depth, o.top, o.block_size, o.include_merged, o.days, o.input_format)
-        out.write(render(analyze(spark, options)).encode())
+        out.write(render(analyze(spark, options(o))).encode())
         return
     began = time.monotonic()
     if o.output:
