@@ -33,7 +33,9 @@ WIDTH, BANDS, ROWS = 8, 9, 3
 #: Lines of a group in a block; places of wanted lines up to which they are broadcast (some tens of bytes each).
 BLOCK_LINES, BROADCAST_LINES = 4000, 1_000_000
 #: Lines up to which a group's overlaps are counted by a matrix product, and columns of it at once.
-DENSE_LINES, DENSE_COLUMNS = 256, 8192
+DENSE_LINES, DENSE_COLUMNS = 1024, 8192
+#: Shingles whose hashes are computed at once.
+RUN_SHINGLES = 1 << 15
 _draw = np.random.default_rng(7)
 _MULTIPLY = (_draw.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -49,6 +51,12 @@ def find_lines(s: tb.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first, last, s.document(first), s.hashes(first, last)
 
 
+def _runs(cut: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Lines in runs of about RUN_SHINGLES, whose temporary arrays stay in the processor's cache."""
+    ends = np.unique(np.searchsorted(cut, np.arange(RUN_SHINGLES, cut[-1] + RUN_SHINGLES, RUN_SHINGLES))).clip(max=len(cut) - 1).tolist()
+    yield from ((lo, hi) for lo, hi in zip([0, *ends], ends) if lo < hi)
+
+
 def line_shingles(s: tb.Slice, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the lines, one line after the other, and where each line's begin (one more than lines)."""
     lead = np.flatnonzero(_LEAD[s.buf])
@@ -56,8 +64,12 @@ def line_shingles(s: tb.Slice, first: np.ndarray, last: np.ndarray, width: int)
     a, b = np.searchsorted(lead, first), np.searchsorted(lead, last)
     count = np.maximum(b - a - width + 1, 1)
     cut = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(cut[-1]) - np.repeat(cut[:-1] - a, count)
-    return s.hashes(edge[at], edge[np.minimum(at + width, np.repeat(b, count))]), cut
+    out, plain = np.empty(cut[-1], U64), len(lead) == len(s.buf)
+    for lo, hi in _runs(cut):
+        at = np.arange(cut[lo], cut[hi]) - np.repeat(cut[lo:hi] - a[lo:hi], count[lo:hi])
+        end = np.minimum(at + width, np.repeat(b[lo:hi], count[lo:hi]))
+        out[cut[lo] : cut[hi]] = s.hashes(at, end) if plain else s.hashes(edge[at], edge[end])
+    return out, cut
 
 
 def band_keys(shingle: np.ndarray, cut: np.ndarray, bands: int, rows: int) -> np.ndarray:
